@@ -44,3 +44,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op6_warc_revisits"] = WARC_SQL
 ORACLE_SQL["op7_source_mixing"] = MIX_SQL
+
+
+@query
+def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dups import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), width=2)
