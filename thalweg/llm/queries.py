@@ -51,3 +51,10 @@ def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dups import near_groups
 
     return near_groups(table(spark, sf_dir, "documents"), width=2)
+
+
+@query
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
