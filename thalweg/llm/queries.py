@@ -58,3 +58,10 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_cover_tree_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import link
+
+    return link(table(spark, sf_dir, "embeddings"))
