@@ -162,9 +162,11 @@ class Suffixes:
 
     def verified(self, i: np.ndarray, j: np.ndarray, s: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Compares the bytes of each run of matching windows of two items once."""
+        if not len(i):
+            return
         order = np.lexsort((s, t - s, j, i))
         i, j, s, t = i[order], j[order], s[order], t[order]
-        fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (t[1:] - s[1:] != t[:-1] - s[:-1]) | (s[1:] != s[:-1] + 1)]) if len(i) else np.zeros(0, bool)
+        fresh = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (t[1:] - s[1:] != t[:-1] - s[:-1]) | (s[1:] != s[:-1] + 1)])
         head = np.flatnonzero(fresh)
         tail = np.concatenate([head[1:], [len(i)]]) - 1
         for h, e in zip(head.tolist(), tail.tolist(), strict=True):
