@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tests.llm.brute import near
+from thalweg.llm import near_dups
 from thalweg.llm.near_dups import near_groups
 
 
@@ -31,8 +32,9 @@ def corpus():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_matches_brute_force(spark, width):
+@pytest.mark.parametrize("width,crowd", [(2, 128), (5, 128), (2, 6)])
+def test_matches_brute_force(spark, monkeypatch, width, crowd):
+    monkeypatch.setattr(near_dups, "CROWD", crowd)
     docs = corpus()
     df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, component_id string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(df, width).collect())

@@ -8,10 +8,14 @@
    so very common shingles get a list only from documents made of little else. Sets that fit into the
    sketch use the exact count of values that similarity demands in place of SHARED.
    A pair with similarity 0.8 shares fewer than SHARED of K values with probability below 1e-7.
-4. A list first links its members to its smallest doc_id, which joins large groups of near copies with
-   one pair per member. Then lists whose members are still in different components give the pairs
-   across components. Each pair must pass the estimate from the union's sketch and is then confirmed
-   on the full shingle sets of the two texts.
+4. A list first links its members to its smallest doc_id, then, where members are still in different
+   components, to members that a hash picks; this joins large groups of near copies with a few pairs
+   per member. Lists that still hold several components then give the pairs between the members
+   outside their largest component and the others; lists of more than CROWD members are cut into
+   blocks that meet in tasks of their own, which return links only. Each pair must pass a comparison of BITS bits (the
+   lowest bit of the smallest hash in each of BITS ranges; a similarity of 0.8 leaves a tenth of them
+   different, FAR_BITS is six standard deviations more) and the estimate from the union's sketch, and
+   is then confirmed on the full shingle sets of the two texts.
 5. Components of the confirmed links give the groups.
 
 No list is collected anywhere: lists are rows, and pairs come from equi-joins on the value.
@@ -28,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +40,23 @@ from pyspark.sql import functions as F
 from .common import components, cut, small_arrow_batches
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
-K, SHARED = 48, 22
-SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+K, SHARED, TURNS, FAMILIES, CROWD = 48, 22, 2, 4, 128
+SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
+BITS, FAR_BITS = 256, 54
+
+
+def low_bits(h: np.ndarray) -> list[int]:
+    """BITS bits: the lowest bit of the smallest of the sorted values h in each range of the hash."""
+    ranges, first = np.unique((h >> np.int64(56)) & np.int64(BITS - 1), return_index=True)
+    out = np.zeros(BITS, np.uint8)
+    out[ranges] = h[first] & 1
+    return np.packbits(out).view(np.int64).tolist()
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether two documents' bits differ as little as similarity 0.8 allows."""
+    apart = [F.bit_count(F.element_at(a, k).bitwiseXOR(F.element_at(b, k))) for k in range(1, BITS // 64 + 1)]
+    return sum(apart[1:], apart[0]) <= FAR_BITS
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -44,17 +64,18 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, values, offsets = [], [], [], [0]
+            counts, digests, values, offsets, bits = [], [], [], [0], []
             for text in batch.column(1):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
                 h = shingle_hashes(word_hashes(data), width)
                 counts.append(len(h))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 values.append(h[:K])
+                bits.append(low_bits(h))
                 offsets.append(offsets[-1] + len(values[-1]))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch", "bits"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
@@ -76,12 +97,12 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the union-sketch estimate and then the Jaccard of the full sets."""
-    a = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    b = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    a = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("bits").alias("ba"))
+    b = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("bits").alias("bb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     met = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     least = F.when(F.greatest("na", "nb") <= K * percent // 100, F.size(union) * percent / 100).otherwise(F.lit(float(SHARED)))
-    likely = pairs.join(a, "a").join(b, "b").where(met >= least).select("a", "b")
+    likely = pairs.join(a, "a").join(b, "b").where(alike(F.col("ba"), F.col("bb")) & (met >= least)).select("a", "b")
     ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,31 +119,145 @@ def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, per
     return likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def placed_lists(listed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The lists with each member's component so far as c."""
+    named = grouped.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c"))
+    return cut(listed.join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "placed")
+
+
+class Meeting:
+    """The members of one list, or of two blocks of it, that may still link: filters over all their pairs at once."""
+
+    def __init__(self, f: pd.DataFrame, percent: int):
+        f = f.sort_values(["side", "doc_id"], ignore_index=True)
+        self.f, self.cut, self.percent = f, int((f["side"] == 0).sum()), percent
+        self.n = f["n_shingles"].to_numpy()
+        self.c = f["c"].to_numpy()
+        self.bits = np.stack(f["bits"].to_numpy()).astype(np.int64)
+        self.first = self.earlier(f)
+
+    def earlier(self, f: pd.DataFrame) -> np.ndarray:
+        """Bit rows of the lists before this one that each member is in too: a pair counts in its first list only."""
+        at = np.repeat(np.arange(len(f)), [len(x) for x in f["also"]])
+        values = np.concatenate(list(f["also"]))
+        keep = values < f["v"].iloc[0]
+        ids, inverse, times = np.unique(values[keep], return_inverse=True, return_counts=True)
+        shared = times[inverse] > 1
+        _, column = np.unique(inverse[shared], return_inverse=True)
+        table = np.zeros((len(f), max(64, -(-(int(column.max(initial=-1)) + 1) // 64) * 64)), np.uint8)
+        table[at[keep][shared], column] = 1
+        return np.packbits(table, axis=1).view(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that may link: different components, sizes and bits allow it, and no earlier list has both."""
+        two = self.cut < len(self.f)
+        rows, cols = np.arange(self.cut), np.arange(self.cut, len(self.f)) if two else np.arange(self.cut)
+        found = []
+        for s in range(0, len(rows), 64):
+            r = rows[s : s + 64]
+            ok = self.c[r][:, None] != self.c[cols][None]
+            low, high = np.minimum(self.n[r][:, None], self.n[cols][None]), np.maximum(self.n[r][:, None], self.n[cols][None])
+            ok &= low * 100 >= high * self.percent
+            if not two:
+                ok &= r[:, None] < cols[None]
+            i, j = np.nonzero(ok)
+            i, j = r[i], cols[j]
+            near = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1) <= FAR_BITS
+            i, j = i[near], j[near]
+            fresh = ~(self.first[i] & self.first[j]).any(axis=1)
+            found.append((i[fresh], j[fresh]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+    def links(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose sets of shingle hashes are similar enough, by one product of incidence rows."""
+        i, j = self.pairs()
+        sets = [shingle_hashes(word_hashes(t.encode("utf-8", "surrogatepass").lower()), width) for t in self.f["text"]]
+        sizes = np.array([len(x) for x in sets])
+        values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        member = np.repeat(np.arange(len(sets)), sizes)
+        shared = times[inverse] > 1
+        _, column = np.unique(inverse[shared], return_inverse=True)
+        member = member[shared]
+        met = np.zeros(len(i))
+        for s in range(0, int(column.max(initial=-1)) + 1, 4096):
+            part = (column >= s) & (column < s + 4096)
+            rows = np.zeros((len(sets), 4096), np.float32)
+            rows[member[part], column[part] - s] = 1
+            met += (rows @ rows.T)[i, j]
+        ok = 100 * met >= self.percent * (sizes[i] + sizes[j] - met)
+        return i[ok], j[ok]
+
+
+def crowded_pairs(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within long lists. Members outside the largest component meet everyone, in blocks of
+    about CROWD members; a task returns the members that pass the filters, and a second one, with their
+    texts, the links: never the pairs that were looked at."""
+    also = large.groupBy("doc_id").agg(F.collect_set("v").alias("also"))
+    parts = F.ceil(F.col("n") / CROWD).cast("int")
+    placed = large.join(also, "doc_id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = placed.select("v", "doc_id", "n_shingles", "c", (F.col("c") == F.col("major")).alias("main"), "bits", "also", "part", other.alias("other"))
+    met = met.select("*", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), (F.col("part") > F.col("other")).cast("int").alias("side")).drop("part", "other")
+    keys = ["v", "p1", "p2"]
+
+    def look(f: pd.DataFrame) -> pd.DataFrame:
+        if f["main"].all():
+            return pd.DataFrame({k: [] for k in [*keys, "side", "doc_id"]})
+        m = Meeting(f, percent)
+        i, j = m.pairs()
+        return m.f.loc[np.unique(np.concatenate([i, j])), [*keys, "side", "doc_id"]]
+
+    def decide(f: pd.DataFrame) -> pd.DataFrame:
+        m = Meeting(f, percent)
+        if m.cut == 0 or (f["p1"].iloc[0] != f["p2"].iloc[0] and m.cut == len(f)):
+            return pd.DataFrame({"a": [], "b": []})
+        i, j = m.links(width)
+        ids = m.f["doc_id"].to_numpy()
+        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+
+    likely = cut(met.groupBy(*keys).applyInPandas(look, "v long, p1 int, p2 int, side int, doc_id long"), "likely")
+    again = met.join(likely, [*keys, "side", "doc_id"]).join(texts, "doc_id")
+    return again.groupBy(*keys).applyInPandas(decide, "a long, b long")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     base = cut(sketches(docs, width), "sketches")
     nodes = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
     same = cut(nodes.select("doc_id", "digest").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    reps = nodes.join(same, nodes["doc_id"] == same["a"], "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch")
+    reps = nodes.join(same, nodes["doc_id"] == same["a"], "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bits")
     listed = cut(lists(reps, percent), "lists")
     wanted = listed.select("doc_id").distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sketched = cut(reps.join(wanted, "doc_id", "left_semi"), "listed")
 
-    heads = listed.groupBy("v").agg(F.min_by(F.struct("doc_id", "n_shingles"), F.col("doc_id")).alias("head")).select("v", F.col("head.doc_id").alias("a"), F.col("head.n_shingles").alias("na"))
-    stars = listed.join(heads, "v").where((F.col("a") < F.col("doc_id")) & sizes_allow(F.col("na"), F.col("n_shingles"), percent))
-    found = cut(confirm(stars.select("a", F.col("doc_id").alias("b")).distinct(), sketched, texts, width, percent), "links")
-    grouped = cut(components(found), "grouped")
-
-    placed = listed.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
-    placed = cut(placed, "placed")
-    mixed = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    left = cut(placed.join(mixed, "v", "left_semi"), "mixed")
-    x = left.select("v", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca"))
-    y = left.select("v", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("c").alias("cb"))
-    rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes_allow(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    links, grouped = same, None
+    for turn in range(TURNS):
+        if turn:
+            placed = placed_lists(listed, grouped)
+        else:
+            placed = listed.withColumn("c", F.col("doc_id"))
+        # the first turn's heads are the smallest doc_ids; later ones differ from list to list
+        first = F.xxhash64("doc_id", F.pmod("v", F.lit(FAMILIES)), F.lit(turn)) if turn else F.col("doc_id")
+        heads = placed.groupBy("v").agg(F.min_by(F.struct("doc_id", "n_shingles", "c"), first).alias("head"), F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        heads = heads.where("lo < hi" + " AND n > 2" * bool(turn)).select("v", F.col("head.doc_id").alias("h"), F.col("head.n_shingles").alias("nh"), F.col("head.c").alias("ch"))
+        stars = placed.join(heads, "v").where((F.col("c") != F.col("ch")) & sizes_allow(F.col("nh"), F.col("n_shingles"), percent))
+        pairs = stars.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
+        links = links.union(cut(confirm(pairs, sketched, texts, width, percent), "links"))
+        grouped = cut(components(links), "grouped")
+
+    # what is left: members outside a list's largest component against all others of the list
+    placed = placed_lists(listed, grouped)
+    sizes = placed.groupBy("v", "c").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND n > 2").select("v", "major", "n")
+    open_ = cut(placed.join(major, "v").join(sketched.select("doc_id", "bits"), "doc_id"), "open")
+    small, large = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD)
+    x = small.where("c <> major").select("v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("bits").alias("bx"))
+    y = small.select("v", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("major")).alias("main"), F.col("bits").alias("by"))
+    rest = x.join(y, (x["v"] == y["v"]) & (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y"))) & sizes_allow(F.col("nx"), F.col("ny"), percent) & alike(F.col("bx"), F.col("by")))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(crowded_pairs(large, texts, width, percent)).distinct()
     more = cut(confirm(rest, sketched, texts, width, percent), "links")
-    groups = components(same.union(found).union(more))
+    groups = components(links.union(more))
     out = base.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
