@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
-BLOCK, SAMPLE, PIVOTS, LEVELS, MARGIN = 4096, 2048, 32, 7, 2e-5
+BLOCK, SAMPLE, PIVOTS, LEVELS, SKIP, MARGIN = 4096, 2048, 32, 7, 0.6, 2e-5
 POINT = "rep long, w long, vec binary, block long, at int, path array<int>"
 
 
@@ -83,6 +83,7 @@ def net(x: np.ndarray, members: np.ndarray, radius: float) -> np.ndarray:
 
 def build_tree(x: np.ndarray) -> np.ndarray:
     """paths[i, level]: the centre of point i at each level; radii 2, 1, 1/2, ..."""
+    x = x.astype(np.float32)
     paths = np.zeros((len(x), LEVELS), np.int32)
     for level in range(1, LEVELS):
         order = np.argsort(paths[:, level - 1], kind="stable")
@@ -112,6 +113,12 @@ class Tree:
             order = np.argsort(node, kind="stable")
             start = np.searchsorted(node[order], np.arange(len(centres) + 1))
             self.levels.append({"centres": centres, "node": node, "radius": radius, "total": total, "order": order, "start": start})
+        # a level that hardly gathers the next one excludes nothing that the next doesn't
+        kept = [self.levels[-1]]
+        for level in self.levels[-2:0:-1]:
+            if len(level["centres"]) <= SKIP * len(kept[0]["centres"]):
+                kept.insert(0, level)
+        self.levels = [self.levels[0], *kept]
         for upper, lower in zip(self.levels, self.levels[1:], strict=False):
             parent = upper["node"][lower["centres"]]
             order = np.argsort(parent, kind="stable")
@@ -127,6 +134,14 @@ def opened(level_a: dict, level_b: dict, a: np.ndarray, b: np.ndarray) -> tuple[
     return level_a["children"][level_a["child_start"][a[k]] + i // nb[k]], level_b["children"][level_b["child_start"][b[k]] + i % nb[k]]
 
 
+def step_down(levels: list[dict], k: int) -> dict:
+    """Level k; where the next is the same root again, its only child is itself."""
+    level = levels[k]
+    if k + 1 < len(levels) and levels[k + 1] is level:
+        return level | {"children": np.zeros(1, np.int64), "child_start": np.array([0, 1])}
+    return level
+
+
 def dual(ta: Tree, tb: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links per point of either tree, and linked pairs (of a tree's point with a tree's point, as ids na + ib) that connect them."""
     reach = np.sqrt(2 - 2 * cosine)
@@ -134,12 +149,15 @@ def dual(ta: Tree, tb: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.
     na = len(ta.x)
     got_a, got_b = np.zeros(na, np.int64), np.zeros(len(tb.x), np.int64)
     edges: list[np.ndarray] = []
+    # the shallower tree waits at its root until both have as many levels left
+    depth = max(len(ta.levels), len(tb.levels))
+    levels_a, levels_b = ([t.levels[0]] * (depth - len(t.levels)) + t.levels for t in (ta, tb))
     work: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    last = len(ta.levels) - 1
+    last = depth - 1
     shift = 0 if same else na
     while work:
         level, a, b = work.pop()
-        la, lb = ta.levels[level], tb.levels[level]
+        la, lb = step_down(levels_a, level), step_down(levels_b, level)
         ca, cb = la["centres"][a], lb["centres"][b]
         if level == last:
             c = np.einsum("ij,ij->i", ta.x[ca], tb.x[cb])
@@ -172,19 +190,23 @@ def dual(ta: Tree, tb: Tree, cosine: float) -> tuple[np.ndarray, np.ndarray, np.
         for i, j in zip(a[dense].tolist(), b[dense].tolist(), strict=True):
             xa = la["children"][la["child_start"][i] : la["child_start"][i + 1]]
             xb = lb["children"][lb["child_start"][j] : lb["child_start"][j + 1]]
-            na_, nb_ = ta.levels[level + 1], tb.levels[level + 1]
-            vb, rb = tb.x32[nb_["centres"][xb]].T, nb_["radius"][xb]
-            widest = rb.max()
-            for s in range(0, len(xa), 512):
-                part = xa[s : s + 512]
-                c = ta.x32[na_["centres"][part]] @ vb
-                # first by the largest radius there is, then by each pair's own
-                bound = np.minimum(2.0, reach + na_["radius"][part] + widest)
-                p, q = np.nonzero(c >= (1 - (bound * bound + MARGIN) / 2)[:, None].astype(np.float32) - 1e-6)
-                own = np.minimum(2.0, reach + na_["radius"][part[p]] + rb[q])
-                ok = c[p, q] >= 1 - (own * own + MARGIN) / 2
-                if ok.any():
-                    work.append((level + 1, part[p[ok]], xb[q[ok]]))
+            na_, nb_ = levels_a[level + 1], levels_b[level + 1]
+            single = nb_["radius"][xb] == 0
+            for own in (xb[single], xb[~single]):
+                if not len(own):
+                    continue
+                vb, rb = tb.x32[nb_["centres"][own]].T, nb_["radius"][own]
+                widest = rb.max()
+                for s in range(0, len(xa), 512):
+                    part = xa[s : s + 512]
+                    c = ta.x32[na_["centres"][part]] @ vb
+                    # first by the largest radius there is, then by each pair's own
+                    bound = np.minimum(2.0, reach + na_["radius"][part] + widest)
+                    p, q = np.nonzero(c >= (1 - (bound * bound + MARGIN) / 2)[:, None].astype(np.float32) - np.float32(1e-6))
+                    each = np.minimum(2.0, reach + na_["radius"][part[p]] + rb[q])
+                    ok = c[p, q] >= 1 - (each * each + MARGIN) / 2
+                    if ok.any():
+                        work.append((level + 1, part[p[ok]], own[q[ok]]))
         few = np.flatnonzero(~dense)
         for s in range(0, len(few), 4096):
             p = few[s : s + 4096]
