@@ -65,3 +65,17 @@ def op2_cover_tree_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cover_tree import link
 
     return link(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
