@@ -34,13 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_arrow_batches
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
-K, SHARED, TURNS, FAMILIES, CROWD = 48, 22, 2, 4, 128
+K, SHARED, TURNS, FAMILIES, CROWD, BROADCAST = 48, 22, 2, 4, 128, 1_000_000
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
 BITS, FAR_BITS = 256, 54
 
@@ -81,29 +81,39 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def lists(reps: DataFrame, percent: int) -> DataFrame:
-    """(v, doc_id, n_shingles): each document in the inverted lists of its rarest shared values."""
-    postings = reps.select("doc_id", "n_shingles", F.size("sketch").alias("kept_values"), F.explode("sketch").alias("v"))
+    """(doc_id, n_shingles, bits, entries of v and df): each document's rarest shared values, if it has any."""
+    postings = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
     shared = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     n, fits = F.col("n_shingles"), F.col("n_shingles") <= F.lit(K * percent // 100)
+    retained = F.least(n, F.lit(K))
     needed = F.when(fits, F.ceil(n * percent / 100)).otherwise(F.lit(SHARED))
-    mine = Window.partitionBy("doc_id")
-    rows = postings.join(shared, "v").withColumn("alone", F.col("kept_values") - F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "v")))
-    return rows.where(F.col("alone") + F.col("rank") <= F.col("kept_values") - needed + 1).select("v", "doc_id", "n_shingles")
+    mine = postings.join(shared, "v").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("entries"))
+    mine = mine.join(reps.select("doc_id", "n_shingles", "bits"), "doc_id")
+    # values that only this document has come first in the order of rarity
+    take = F.greatest(F.lit(0), F.size("entries") + 1 - needed).cast("int")
+    return mine.select("doc_id", "n_shingles", "bits", F.slice("entries", 1, take).alias("entries")).where((F.size("entries") > 0) & (retained > 0))
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is in ids, which are broadcast while there are at most BROADCAST of them."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the union-sketch estimate and then the Jaccard of the full sets."""
-    a = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("bits").alias("ba"))
-    b = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("bits").alias("bb"))
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = only(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids).dropDuplicates(["doc_id"])
+    both = cut(only(reps.select("doc_id", "n_shingles", "sketch"), ids).join(texts, "doc_id"), "texts")
+    x = both.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("text").alias("ta"))
+    y = both.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("text").alias("tb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     met = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     least = F.when(F.greatest("na", "nb") <= K * percent // 100, F.size(union) * percent / 100).otherwise(F.lit(float(SHARED)))
-    likely = pairs.join(a, "a").join(b, "b").where(alike(F.col("ba"), F.col("bb")) & (met >= least)).select("a", "b")
-    ta, tb = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    likely = pairs.join(x, "a").join(y, "b").where(met >= least).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,13 +126,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, per
                 keep.append(100 * met >= percent * (len(p) + len(q) - met) and met > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def placed_lists(listed: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The lists with each member's component so far as c."""
-    named = grouped.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c"))
-    return cut(listed.join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "placed")
+    return likely.mapInArrow(run, "a long, b long")
 
 
 class Meeting:
@@ -188,13 +192,12 @@ class Meeting:
         return i[ok], j[ok]
 
 
-def crowded_pairs(large: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def crowded_pairs(large: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) within long lists. Members outside the largest component meet everyone, in blocks of
     about CROWD members; a task returns the members that pass the filters, and a second one, with their
     texts, the links: never the pairs that were looked at."""
-    also = large.groupBy("doc_id").agg(F.collect_set("v").alias("also"))
     parts = F.ceil(F.col("n") / CROWD).cast("int")
-    placed = large.join(also, "doc_id").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     met = placed.select("v", "doc_id", "n_shingles", "c", (F.col("c") == F.col("major")).alias("main"), "bits", "also", "part", other.alias("other"))
     met = met.select("*", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), (F.col("part") > F.col("other")).cast("int").alias("side")).drop("part", "other")
@@ -216,6 +219,7 @@ def crowded_pairs(large: DataFrame, texts: DataFrame, width: int, percent: int)
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     likely = cut(met.groupBy(*keys).applyInPandas(look, "v long, p1 int, p2 int, side int, doc_id long"), "likely")
+    texts = only(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut(likely.select("doc_id").distinct(), "ids")).dropDuplicates(["doc_id"])
     again = met.join(likely, [*keys, "side", "doc_id"]).join(texts, "doc_id")
     return again.groupBy(*keys).applyInPandas(decide, "a long, b long")
 
@@ -228,36 +232,41 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     same = cut(nodes.select("doc_id", "digest").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
     reps = nodes.join(same, nodes["doc_id"] == same["a"], "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bits")
     listed = cut(lists(reps, percent), "lists")
-    wanted = listed.select("doc_id").distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sketched = cut(reps.join(wanted, "doc_id", "left_semi"), "listed")
+
+    def placed(grouped: DataFrame | None) -> DataFrame:
+        """A row for each member of each list, c its component so far; lists of two are settled by the first turn."""
+        if grouped is None:
+            rows = listed.withColumn("c", F.col("doc_id"))
+        else:
+            named = grouped.select(F.col("node").alias("doc_id"), F.col("component_id").alias("c"))
+            rows = listed.join(named, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+            rows = rows.withColumn("entries", F.filter("entries", lambda e: e["df"] > 2))
+        return rows.select("doc_id", "n_shingles", "bits", "c", F.col("entries.v").alias("also"), F.explode("entries.v").alias("v"))
 
     links, grouped = same, None
     for turn in range(TURNS):
-        if turn:
-            placed = placed_lists(listed, grouped)
-        else:
-            placed = listed.withColumn("c", F.col("doc_id"))
+        members = placed(grouped)
         # the first turn's heads are the smallest doc_ids; later ones differ from list to list
         first = F.xxhash64("doc_id", F.pmod("v", F.lit(FAMILIES)), F.lit(turn)) if turn else F.col("doc_id")
-        heads = placed.groupBy("v").agg(F.min_by(F.struct("doc_id", "n_shingles", "c"), first).alias("head"), F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        heads = heads.where("lo < hi" + " AND n > 2" * bool(turn)).select("v", F.col("head.doc_id").alias("h"), F.col("head.n_shingles").alias("nh"), F.col("head.c").alias("ch"))
-        stars = placed.join(heads, "v").where((F.col("c") != F.col("ch")) & sizes_allow(F.col("nh"), F.col("n_shingles"), percent))
-        pairs = stars.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct()
-        links = links.union(cut(confirm(pairs, sketched, texts, width, percent), "links"))
+        heads = members.groupBy("v").agg(F.min_by(F.struct("doc_id", "n_shingles", "bits", "c"), first).alias("head"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        heads = heads.where("lo < hi").select("v", F.col("head.doc_id").alias("h"), F.col("head.n_shingles").alias("nh"), F.col("head.bits").alias("bh"), F.col("head.c").alias("ch"))
+        may = (F.col("c") != F.col("ch")) & sizes_allow(F.col("nh"), F.col("n_shingles"), percent) & alike(F.col("bh"), F.col("bits"))
+        stars = members.drop("also").join(heads, "v").where(may)
+        pairs = cut(stars.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct(), "pairs")
+        links = links.union(cut(confirm(pairs, reps, docs, width, percent), "links"))
         grouped = cut(components(links), "grouped")
 
     # what is left: members outside a list's largest component against all others of the list
-    placed = placed_lists(listed, grouped)
-    sizes = placed.groupBy("v", "c").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 AND n > 2").select("v", "major", "n")
-    open_ = cut(placed.join(major, "v").join(sketched.select("doc_id", "bits"), "doc_id"), "open")
+    members = placed(grouped)
+    sizes = members.groupBy("v", "c").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").select("v", "major", "n")
+    open_ = cut(members.join(major, "v"), "open")
     small, large = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD)
     x = small.where("c <> major").select("v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("bits").alias("bx"))
     y = small.select("v", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("major")).alias("main"), F.col("bits").alias("by"))
     rest = x.join(y, (x["v"] == y["v"]) & (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y"))) & sizes_allow(F.col("nx"), F.col("ny"), percent) & alike(F.col("bx"), F.col("by")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(crowded_pairs(large, texts, width, percent)).distinct()
-    more = cut(confirm(rest, sketched, texts, width, percent), "links")
+    rest = cut(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(crowded_pairs(large, docs, width, percent)).distinct(), "pairs")
+    more = cut(confirm(rest, reps, docs, width, percent), "links")
     groups = components(links.union(more))
     out = base.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
