@@ -42,6 +42,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST = 1_000_000
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few enough (8 MB of them), else joined by shuffle; ids should be cut already."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component_id) for every node of edges(a, b); component_id is the smallest node reachable.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sent
 
 WINDOW, LITERALS, SHARE, RUN, AGREE, BROADCAST = 8, 4, 0.5, 13, 0.9, 200_000
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
@@ -92,4 +92,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns as they are."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    found = cut(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    return docs.join(sent(found), "doc_id", "left_anti").select(docs.columns)

@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_arrow_batches
+from .common import components, cut, sent, small_arrow_batches
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
-K, SHARED, TURNS, FAMILIES, CROWD, BROADCAST = 48, 22, 2, 4, 128, 1_000_000
+K, SHARED, TURNS, FAMILIES, CROWD = 48, 22, 2, 4, 128
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
 BITS, FAR_BITS = 256, 54
 
@@ -99,8 +99,8 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 
 def only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id is in ids, which are broadcast while there are at most BROADCAST of them."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", "left_semi")
+    """The rows of df whose doc_id is in ids."""
+    return df.join(sent(ids), "doc_id", "left_semi")
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,3 +270,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     groups = components(links.union(more))
     out = base.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_dups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group, that with the smallest doc_id; all columns as they are. Rows without doc_id stay."""
+    groups = cut(near_groups(docs, width, percent), "groups")
+    twice = cut(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("kept").alias("kept")).where("n > 1").select("doc_id", "kept"), "twice")
+    gone = cut(groups.where("NOT kept").select("doc_id").union(twice.select("doc_id")).distinct(), "gone")
+    once = docs.join(sent(gone), "doc_id", "left_anti").select(docs.columns)
+    firsts = docs.join(sent(twice.where("kept").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return once.union(firsts)
