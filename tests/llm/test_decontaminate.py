@@ -13,7 +13,7 @@ def parse(text):
             out.append("#")
         elif w[0].isupper():
             out.append("@")
-        elif k and out[-1] == "#" and w in D.UNITS.split("|") and re.search(rf"{re.escape(raw[k - 1])}\s*{w}(?![^\W\d_])", text):
+        elif k and out[-1] == "#" and w in D.UNITS:
             out.append("%")
         else:
             out.append(w)

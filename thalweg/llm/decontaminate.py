@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
 Texts are cut into runs of letters and numbers. Numbers, capitalised words (names and whatever else is
-capitalised) and units after a number become typed placeholders, so a question with other numbers,
+capitalised) and units right after a number become typed placeholders, so a question with other numbers,
 names or units keeps its template. Windows of WINDOW template tokens are hashed by doubling (pairs,
 fours, eights) and hash-joined with the benchmark's windows, which are broadcast while there are at
 most BROADCAST of them and joined by shuffle beyond that. Windows with fewer than LITERALS plain
@@ -28,37 +28,68 @@ from .common import cut, sent
 WINDOW, LITERALS, SHARE, RUN, AGREE, BROADCAST = 8, 4, 0.5, 13, 0.9, 200_000
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 RAW = rf"[\p{{L}}\p{{M}}]+|{NUMBER}"
-UNITS = "kilometers|kilometres|kilometer|kilometre|km|meters|metres|meter|metre|centimeters|cm|millimeters|mm|miles|mile|feet|foot|ft|inches|inch|yards|yard|kilograms|kilogram|kg|grams|gram|mg|pounds|pound|lbs|lb|ounces|ounce|oz|liters|litres|liter|litre|ml|gallons|gallon|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|degrees|degree|m|g|l|h|s"
+UNITS = """
+kilometers kilometres kilometer kilometre km meters metres meter metre centimeters cm millimeters mm miles mile feet
+foot ft inches inch yards yard kilograms kilogram kg grams gram mg pounds pound lbs lb
+ounces ounce oz liters litres liter litre ml gallons gallon hours hour minutes minute seconds second
+days day weeks week months month years year dollars dollar euros euro cents cent percent degrees
+degree m g l h s
+""".split()
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 
 
-def template_tokens(text: Column) -> Column:
-    """One token for each raw token of the text: itself, or the placeholder of its type."""
-    t = F.regexp_replace(text, "[\ue000-\ue002]", " ")
-    t = F.regexp_replace(t, NUMBER, f" {NUM} ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*+", f" {NAME} ")
-    t = F.regexp_replace(t, rf"({NUM}\s++)(?:{UNITS})(?![\p{{L}}\p{{M}}])", f"$1 {UNIT} ")
-    return F.filter(F.split(t, r"[^\p{L}\p{M}\ue000-\ue002]+"), lambda x: x != "")
+def raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(RAW), 0)
 
 
-def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(text, "[\ue000-\ue002]", " "), F.lit(RAW), 0)
+def placeholder(raw: Column):
+    """The token that stands for raw token x at i: itself or the placeholder of its type."""
+
+    def typed(x: Column, i: Column) -> Column:
+        # by byte order: digits, then capitals, then small letters, then everything beyond ASCII
+        unit = x.isin(UNITS) & (F.get(raw, i - 1) < ":")
+        plain = F.when(unit, UNIT).otherwise(x)
+        beyond = F.when(x.rlike(r"^\p{Lu}"), NAME).when(x.rlike(r"^\p{N}"), NUM).otherwise(x)
+        return F.when((x >= "a") & (x < "{"), plain).when(x < ":", NUM).when(x < "[", NAME).otherwise(beyond)
+
+    return typed
+
+
+def template_tokens(raw: Column) -> Column:
+    """One token for each raw token."""
+    return F.transform(raw, placeholder(raw))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def doubled(after: Column, rest: Column):
+    """Joins the hash at each position with the one that starts where its tokens end."""
+    return lambda x: F.zip_with(x, F.slice(x, after, rest), lambda a, b: F.xxhash64(a, b))
+
+
+def hashed(raw: Column) -> Column:
+    typed = placeholder(raw)
+    return F.transform(raw, lambda x, i: F.xxhash64(typed(x, i)))
 
 
-def window_hashes(tokens: Column) -> Column:
-    """Hash of the WINDOW tokens from each position on; for WINDOW a power of two."""
-    h, span = F.transform(tokens, lambda x: F.xxhash64(x)), 1
+def window_hashes(text: Column) -> Column:
+    """Hash of the WINDOW template tokens from each position on; for WINDOW a power of two."""
+    h, span, rest = let(raw_tokens(text), hashed), 1, F.lit(1 << 30)
     while span < WINDOW:
-        h = F.zip_with(h, F.slice(h, span + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+        after = F.lit(span + 1)
+        h = let(h, doubled(after, rest))
         span *= 2
-    return F.slice(h, 1, F.greatest(F.size(tokens) - WINDOW + 1, F.lit(0)))
+    return let(h, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - WINDOW + 1, F.lit(0))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, share, n_slots, slot_agreement) for each document that holds an item."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    items = cut(items.withColumn("tokens", template_tokens(F.col("text"))).withColumn("raw", raw_tokens(F.col("text"))), "items")
-    spread = items.select("item_id", "tokens", F.posexplode(window_hashes(F.col("tokens"))).alias("ipos", "h"))
+    items = cut(items.withColumn("raw", raw_tokens(F.col("text"))).withColumn("tokens", template_tokens(F.col("raw"))), "items")
+    spread = items.select("item_id", "tokens", F.posexplode(window_hashes(F.col("text"))).alias("ipos", "h"))
     plain = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUM, NAME, UNIT)))
     windows = cut(spread.where(plain >= LITERALS).select("item_id", "ipos", "h"), "windows")
     totals = windows.groupBy("item_id").agg(F.count("*").alias("total"))
@@ -66,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if windows.count() <= BROADCAST:
         side = F.broadcast(side)
 
-    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(window_hashes(template_tokens(F.col("text")))).alias("dpos", "h"))
+    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(window_hashes(F.col("text"))).alias("dpos", "h"))
     hits = placed.join(side, "h").select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "total").distinct()
     aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"), F.first("total").alias("total"), F.collect_set("ipos").alias("at"))
     aligned = cut(aligned.where(F.col("n") >= F.least(F.lit(RUN), F.ceil(F.col("total") * SHARE))), "aligned")
