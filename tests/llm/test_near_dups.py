@@ -35,6 +35,7 @@ def corpus():
 @pytest.mark.parametrize("width,crowd", [(2, 128), (5, 128), (2, 6)])
 def test_matches_brute_force(spark, monkeypatch, width, crowd):
     monkeypatch.setattr(near_dups, "CROWD", crowd)
+    monkeypatch.setattr(near_dups, "BLOCK", 4 * crowd)
     docs = corpus()
     df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, component_id string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(df, width).collect())

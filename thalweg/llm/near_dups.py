@@ -12,7 +12,7 @@
    components, to members that a hash picks; this joins large groups of near copies with a few pairs
    per member. Lists that still hold several components then give the pairs between the members
    outside their largest component and the others; lists of more than CROWD members are cut into
-   blocks that meet in tasks of their own, which return links only. Each pair must pass a comparison of BITS bits (the
+   blocks of BLOCK that meet in tasks of their own, which return links only. Each pair must pass a comparison of BITS bits (the
    lowest bit of the smallest hash in each of BITS ranges; a similarity of 0.8 leaves a tenth of them
    different, FAR_BITS is six standard deviations more) and the estimate from the union's sketch, and
    is then confirmed on the full shingle sets of the two texts.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, sent, small_arrow_batches
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
-K, SHARED, TURNS, FAMILIES, CROWD = 48, 22, 2, 4, 128
+K, SHARED, TURNS, FAMILIES, CROWD, BLOCK = 48, 22, 2, 4, 128, 2048
 SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
 BITS, FAR_BITS = 256, 54
 
@@ -182,24 +182,29 @@ class Meeting:
         shared = times[inverse] > 1
         _, column = np.unique(inverse[shared], return_inverse=True)
         member = member[shared]
-        met = np.zeros(len(i))
-        for s in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = (column >= s) & (column < s + 4096)
-            rows = np.zeros((len(sets), 4096), np.float32)
-            rows[member[part], column[part] - s] = 1
-            met += (rows @ rows.T)[i, j]
+        columns = int(column.max(initial=-1)) + 1
+        if len(i) * 20e-6 < len(sets) ** 2 * columns * 1e-10:  # seconds for one pair, and for one entry of the product
+            met = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+        else:
+            met = np.zeros(len(i))
+            for s in range(0, columns, 1024):
+                part = (column >= s) & (column < s + 1024)
+                rows = np.zeros((len(sets), 1024), np.float32)
+                rows[member[part], column[part] - s] = 1
+                met += (rows @ rows.T)[i, j]
         ok = 100 * met >= self.percent * (sizes[i] + sizes[j] - met)
         return i[ok], j[ok]
 
 
 def crowded_pairs(large: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) within long lists. Members outside the largest component meet everyone, in blocks of
-    about CROWD members; a task returns the members that pass the filters, and a second one, with their
-    texts, the links: never the pairs that were looked at."""
-    parts = F.ceil(F.col("n") / CROWD).cast("int")
-    placed = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = placed.select("v", "doc_id", "n_shingles", "c", (F.col("c") == F.col("major")).alias("main"), "bits", "also", "part", other.alias("other"))
+    about BLOCK members; a task returns the members that pass the filters, and a second one, with their
+    texts, the links: never the pairs that were looked at. Members of the largest component don't meet."""
+    main = F.col("c") == F.col("major")
+    outer, inner = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+    mine = F.when(main, outer + F.pmod(F.xxhash64("doc_id"), inner)).otherwise(F.pmod(F.xxhash64("doc_id"), outer)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(main, outer).otherwise(outer + inner) - 1))
+    met = large.select("v", "doc_id", "n_shingles", "c", main.alias("main"), "bits", "also", mine.alias("part"), other.alias("other"))
     met = met.select("*", F.least("part", "other").alias("p1"), F.greatest("part", "other").alias("p2"), (F.col("part") > F.col("other")).cast("int").alias("side")).drop("part", "other")
     keys = ["v", "p1", "p2"]
 
@@ -259,7 +264,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     # what is left: members outside a list's largest component against all others of the list
     members = placed(grouped)
     sizes = members.groupBy("v", "c").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").select("v", "major", "n")
+    major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = cut(members.join(major, "v"), "open")
     small, large = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD)
     x = small.where("c <> major").select("v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("bits").alias("bx"))
