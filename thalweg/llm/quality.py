@@ -8,7 +8,8 @@ At most TRAIN labelled rows outside the held-out fold (crc32 of the doc_id as te
 at most POOL unlabelled rows, both in hash order, are used for fitting; a fifth of the labelled rows
 is kept for calibration. In each round each view labels the pool rows it is most sure of for the
 other view. Then each view's margins are calibrated and the two are combined by logistic regression
-on the calibration rows. Every row of the table is scored, from its whole text.
+on the calibration rows. A document is kept from a score of CUT on, below one half: dropping a good
+document is the worse error. Every row of the table is scored, from its whole text.
 
 Null and empty texts, null languages, sources and lengths have features of their own ("absent").
 Rows are scored one by one: repeated rows score alike. Labels that are null or of other documents are
@@ -31,7 +32,7 @@ from .linear import SPACE, Ftrl, Sparse, sigmoid, slots, tokens
 from .shingles import BASE, mixed
 from .toxicity import fold, labelled_sample
 
-TEXT_BITS, META_BITS, TRAIN, POOL, ROUNDS, MOVED, SURE, EPOCHS = 18, 14, 6000, 6000, 3, 400, 0.95, 6
+TEXT_BITS, META_BITS, TRAIN, POOL, ROUNDS, MOVED, SURE, EPOCHS, CUT = 18, 14, 6000, 6000, 3, 400, 0.95, 6, 0.3
 VIEW = ["text", "lang", "source", "n_chars"]
 
 
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN, pool: int = POO
     return cotrain([r for r in both if r[2] >= 0], [r[:2] for r in both if r[2] < 0])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = TRAIN, pool: int = POOL, carry: list[str] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, most: int = TRAIN, pool: int = POOL, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of each row (doc_id if not given) and text_score, metadata_score, quality_score, keep."""
     small_arrow_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, pool))
@@ -163,12 +164,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: in
     return scored
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, text_score, metadata_score, quality_score, keep) for each row of docs."""
     s = score_quality(docs, labels, cut)
     return s.select("own.doc_id", F.coalesce(fold(F.col("own.doc_id")) == 2, F.lit(False)).alias("held_out"), "text_score", "metadata_score", "quality_score", "keep")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs, all columns as they are, that the combined classifier does not reject."""
     return score_quality(docs, labels, cut, carry=docs.columns).where("keep").select("own.*")
