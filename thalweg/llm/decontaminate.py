@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sent
+from .common import cut, let, sent
 
 WINDOW, LITERALS, SHARE, RUN, AGREE, BROADCAST = 8, 4, 0.5, 13, 0.9, 200_000
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
@@ -60,11 +60,6 @@ def template_tokens(raw: Column) -> Column:
     return F.transform(raw, placeholder(raw))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once however often use refers to it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def doubled(after: Column, rest: Column):
     """Joins the hash at each position with the one that starts where its tokens end."""
     return lambda x: F.zip_with(x, F.slice(x, after, rest), lambda a, b: F.xxhash64(a, b))

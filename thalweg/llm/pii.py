@@ -6,7 +6,7 @@ one broader pattern. Labelers vote on each candidate: a strict pattern, gazettee
 it, and its shape. Expectation-maximisation over the counts of vote patterns of the whole corpus
 estimates how reliable each labeler is; a logistic span classifier is fitted to the resulting
 posteriors over kind and votes, and candidates it accepts are added where no base span is. Both fits
-see only counts per vote pattern (at most a few hundred rows), as aggregations.
+see only counts per vote pattern (at most 405 of them), as one expression over a single row.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Rows are independent:
 repeated rows give equal results. Empty tables give an empty result; without candidates nothing is
@@ -15,12 +15,10 @@ added. Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 # possessive and anchored to the start of a run, so that long runs cost one pass; what they match is
 # what the plain patterns match, leftmost and without overlaps
@@ -108,30 +106,46 @@ def votes(x: Column) -> Column:
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), *cast)
 
 
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, dict[str, float]]:
-    """(prior, accuracy of each labeler) by expectation-maximisation over patterns(votes..., n)."""
-    prior, right = 0.5, dict.fromkeys(LABELERS, 0.8)
-    for _ in range(rounds):
-        p = posterior(prior, right)
-        agg = [F.sum(F.col("n") * p).alias("yes"), F.sum("n").alias("all")]
-        for k in LABELERS:
-            agree = F.when(F.col(k) == 1, p).when(F.col(k) == 0, 1 - p)
-            agg += [F.sum(F.col("n") * agree).alias(f"{k}_right"), F.sum(F.when(F.col(k).isNotNull(), F.col("n"))).alias(f"{k}_all")]
-        r = patterns.agg(*agg).first()
-        if not r["all"]:
-            break
-        prior = (r["yes"] + 1) / (r["all"] + 2)
-        # a labeler is better than chance; two votes' worth of the starting belief
-        right = {k: min(0.99, max(0.55, ((r[f"{k}_right"] or 0) + 1.6) / ((r[f"{k}_all"] or 0) + 2))) for k in LABELERS}
-    return prior, right
+def log_odds(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+
+
+def doubles(values: list[float]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def repeated(start: Column, times: int, step) -> Column:
+    """step applied times times to start, within one expression."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda state, _: step(state))
+
+
+def reliabilities(rows: Column, known: Column, rounds: int = ROUNDS) -> Column:
+    """[prior, accuracy of each labeler] by expectation-maximisation over rows(n, v, ...).
 
+    v holds 1 for the prior and then each labeler's vote: 1 personal, -1 not, 0 no opinion; known has how
+    many candidates each of them has an opinion on.
+    """
+
+    def step(state: Column) -> Column:
+        odds = F.transform(state, log_odds)
+
+        def add(total: Column, r: Column) -> Column:
+            return let(logistic(dot(r["v"], odds)), lambda p: F.zip_with(total, r["v"], lambda t, v: t + r["n"] * F.when(v > 0, p).when(v < 0, 1 - p).otherwise(0.0)))
 
-def posterior(prior: float, right: dict[str, float]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for k, a in right.items():
-        w = math.log(a / (1 - a))
-        odds = odds + F.when(F.col(k) == 1, w).when(F.col(k) == 0, -w).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+        right = F.aggregate(rows, doubles([0.0] * (1 + len(LABELERS))), add)
+        # a labeler is better than chance; two votes' worth of the starting belief
+        better = F.transform(right, lambda s, k: F.when(k == 0, (s + 1) / (F.get(known, k) + 2)).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.55), (s + 1.6) / (F.get(known, k) + 2)))))
+        return better
+
+    return repeated(doubles([0.5] + [0.8] * len(LABELERS)), rounds, step)
 
 
 def features(x) -> list[tuple[str, Column]]:
@@ -143,17 +157,36 @@ def features(x) -> list[tuple[str, Column]]:
 
 
 def span_classifier(patterns: DataFrame, steps: int = STEPS) -> dict[str, float]:
-    """Weights of a logistic model of the posteriors, by gradient steps that are aggregations."""
-    prior, right = reliabilities(patterns)
-    rows = cut(patterns.withColumn("target", posterior(prior, right)).select("n", "target", *(v.alias(k) for k, v in features(F.col))), "spans")
-    names = [k for k, _ in features(F.col)]
-    w = dict.fromkeys(names, 0.0)
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-sum((F.col(k) * v for k, v in w.items()), F.lit(0.0))))
-        r = rows.agg(*(F.sum(F.col("n") * F.col(k) * (F.col("target") - p)).alias(k) for k in names), *(F.sum(F.col("n") * F.col(k) * 0.25).alias(f"h_{k}") for k in names)).first()
+    """Weights of a logistic model of the posteriors over patterns(kind, votes..., n).
+
+    There is a pattern per kind and combination of votes (405 at most), so they fit into one row, and
+    both fits are expressions over it: one job, whatever the number of rounds.
+    """
+    made = features(F.col)
+    names = [k for k, _ in made]
+    v = F.array(F.lit(1.0), *(F.coalesce(F.col(k) * 2.0 - 1, F.lit(0.0)) for k in LABELERS))
+    rows = patterns.agg(F.array_sort(F.collect_list(F.struct("kind", v.alias("v"), F.col("n").cast("double").alias("n"), F.array(*(c for _, c in made)).alias("x")))).alias("rows"))
+
+    def summed(part, size: int) -> Column:
+        return F.aggregate("rows", doubles([0.0] * size), lambda total, r: F.zip_with(total, part(r), lambda t, a: t + r["n"] * a))
+
+    known = summed(lambda r: F.transform(r["v"], F.abs), 1 + len(LABELERS))
+    rows = rows.select("rows", known.alias("known"), summed(lambda r: r["x"], len(names)).alias("seen"))
+    rows = rows.select("rows", "seen", F.transform(reliabilities(F.col("rows"), F.col("known")), log_odds).alias("odds"))
+    targets = F.transform("rows", lambda r: F.struct(r["n"].alias("n"), r["x"].alias("x"), logistic(dot(r["v"], F.col("odds"))).alias("target")))
+    rows = rows.select("seen", targets.alias("rows"))
+
+    def step(w: Column) -> Column:
+        def add(total: Column, r: Column) -> Column:
+            return let(r["n"] * (r["target"] - logistic(dot(r["x"], w))), lambda e: F.zip_with(total, r["x"], lambda t, a: t + a * e))
+
+        slope = F.aggregate("rows", doubles([0.0] * len(names)), add)
         # a quarter bounds the curvature of each indicator; several are on at once
-        w = {k: w[k] + 4 * (r[k] or 0.0) / (4 + len(LABELERS)) / max(1e-9, 0.25 + (r[f"h_{k}"] or 0.0)) for k in names}
-    return w
+        move = F.zip_with(slope, "seen", lambda g, n: 4 * g / (4 + len(LABELERS)) / (0.25 + 0.25 * n))
+        return F.zip_with(w, move, lambda a, b: a + b)
+
+    w = rows.select(repeated(doubles([0.0] * len(names)), steps, step).alias("w")).first()["w"]
+    return dict(zip(names, w, strict=True))
 
 
 def accepted(weights: dict[str, float]):
@@ -176,7 +209,7 @@ def with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     found = docs.select(F.struct(*carry).alias("own"), *(base_spans(text, k).alias(f"b_{k}") for k in BASE), candidate_spans(text).alias("more"))
     found = cut(found, "pii")
     patterns = found.where(F.size("more") > 0).select(F.explode("more").alias("x")).select("x.kind", *(f"x.{k}" for k in LABELERS)).groupBy("kind", *LABELERS).agg(F.count("*").alias("n"))
-    weights = span_classifier(cut(patterns, "votes"))
+    weights = span_classifier(patterns)
 
     def named(kind: str) -> Column:
         return F.transform(f"b_{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
