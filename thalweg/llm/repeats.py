@@ -231,25 +231,26 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     span = ["doc_id", "tid", "lo", "hi"]
     every = cut(anchors(docs.select("doc_id", "tid", "text"), length), "anchors")
     often = every.groupBy("key").agg(F.count("*").alias("times"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("times > 1")
-    often = often.select("key", (F.col("least") == F.col("most")).alias("alike"))
+    # sums are written before they are joined: then both sides are plain shuffles and a hot anchor can be split
+    often = cut(often.select("key", (F.col("least") == F.col("most")).alias("alike")), "often")
     members = cut(every.join(often, "key"), "members")
     found = [members.where("alike").select(span)]
     mixed_ = members.where("NOT alike").drop("alike")
     per = mixed_.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
-    mixed_ = cut(mixed_.join(per, ["key", "ctx"]), "contexts")
+    mixed_ = cut(mixed_.join(cut(per, "per"), ["key", "ctx"]), "contexts")
     found.append(mixed_.where("n > 1").select(span))
     one = mixed_.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(["key", "ctx"]).select(*span, "off", "key", "ctx", "n")
     todo = cut(with_bytes(one, docs, length), "items")
     for width in CELLS:
-        sizes = todo.groupBy("key").agg(F.count("*").alias("m"))
+        sizes = cut(todo.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
         sized = todo.join(sizes, "key")
-        found.append(cut(sorted_repeats(sized.where(F.col("m").between(2, GROUP)).drop("m"), length), "sorted"))
+        found.append(cut(sorted_repeats(sized.where(F.col("m") <= GROUP).drop("m"), length), "sorted"))
         large = cut(sized.where(F.col("m") > GROUP).drop("m"), "large")
         if not large.limit(1).count():
             break
         parts = cut(split_cells(large, width, length), "cells")
         per = parts.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
-        parts = parts.join(per, ["key", "ctx"])
+        parts = parts.join(cut(per, "per"), ["key", "ctx"])
         found.append(cut(parts.where("times > 1 AND n = 1").select(span), "equal"))
         if width > 1:
             known = F.when(F.col("times") > 1, F.greatest("n", F.lit(2))).otherwise(F.col("n"))
