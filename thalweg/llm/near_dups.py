@@ -83,7 +83,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 def lists(reps: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n_shingles, bits, entries of v and df): each document's rarest shared values, if it has any."""
     postings = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
-    shared = postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # sums are written before they are joined: then both sides are plain shuffles and a hot value can be split
+    shared = cut(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     n, fits = F.col("n_shingles"), F.col("n_shingles") <= F.lit(K * percent // 100)
     retained = F.least(n, F.lit(K))
     needed = F.when(fits, F.ceil(n * percent / 100)).otherwise(F.lit(SHARED))
@@ -255,6 +256,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         first = F.xxhash64("doc_id", F.pmod("v", F.lit(FAMILIES)), F.lit(turn)) if turn else F.col("doc_id")
         heads = members.groupBy("v").agg(F.min_by(F.struct("doc_id", "n_shingles", "bits", "c"), first).alias("head"), F.min("c").alias("lo"), F.max("c").alias("hi"))
         heads = heads.where("lo < hi").select("v", F.col("head.doc_id").alias("h"), F.col("head.n_shingles").alias("nh"), F.col("head.bits").alias("bh"), F.col("head.c").alias("ch"))
+        heads = cut(heads, "heads")
         may = (F.col("c") != F.col("ch")) & sizes_allow(F.col("nh"), F.col("n_shingles"), percent) & alike(F.col("bh"), F.col("bits"))
         stars = members.drop("also").join(heads, "v").where(may)
         pairs = cut(stars.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct(), "pairs")
@@ -265,7 +267,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     members = placed(grouped)
     sizes = members.groupBy("v", "c").agg(F.count("*").alias("n"))
     major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = cut(members.join(major, "v"), "open")
+    open_ = cut(members.join(cut(major, "major"), "v"), "open")
     small, large = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD)
     x = small.where("c <> major").select("v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("bits").alias("bx"))
     y = small.select("v", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("major")).alias("main"), F.col("bits").alias("by"))
