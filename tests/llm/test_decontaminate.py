@@ -78,3 +78,14 @@ def test_empty(spark):
     assert D.contaminated(docs.limit(0), items).collect() == []
     assert D.drop_contaminated(docs, items).collect() == []
     assert D.drop_contaminated(docs, items.limit(0)).count() == 1
+
+
+def test_copies_in_any_case(spark):
+    question = "Anna buys 3 kg of red apples and then Anna sells 2 kg of them to Boris before noon"
+    names = "ANNA BORIS CARLA DORA EMIL FRITZ 1 2 3 GRETA HANS IDA"
+    items = spark.createDataFrame([(1, question), (2, names)], "item_id long, text string")
+    docs = [(1, f"so {question.upper()} it was"), (2, f"so {question.title()} it was"), (3, f"so {names} it was"), (4, names.lower()), (5, "Anna Boris Carla 1 2 3 and others"), (6, question)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(df, items, D.ALL).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 1)}
+    assert [r.doc_id for r in D.drop_contaminated(df, items).collect()] == [5]

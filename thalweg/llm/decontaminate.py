@@ -7,6 +7,11 @@ fours, eights) and hash-joined with the benchmark's windows, which are broadcast
 most BROADCAST of them and joined by shuffle beyond that. Windows with fewer than LITERALS plain
 words say too little and are left out.
 
+The literal family has windows of the lower-cased tokens as they are, names and numbers included and with no
+least number of plain words, so copies in capitals or title case match, and items that are themselves in
+capitals or mostly names and numbers. contaminated() takes the families asked for, templates alone if none
+are named; the query and drop_contaminated() take ALL.
+
 Matches of a document and an item are grouped by alignment. An alignment counts if it covers at least
 SHARE of the item's windows, or RUN of them. Then the slots are read from both raw texts: a value of
 the item must always stand for the same value in the document; at least AGREE of the slots must
@@ -20,6 +25,8 @@ tables give an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +43,8 @@ days day weeks week months month years year dollars dollar euros euro cents cent
 degree m g l h s
 """.split()
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+TEMPLATES = ("template",)
+ALL = (*TEMPLATES, "literal")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -65,14 +74,23 @@ def doubled(after: Column, rest: Column):
     return lambda x: F.zip_with(x, F.slice(x, after, rest), lambda a, b: F.xxhash64(a, b))
 
 
-def hashed(raw: Column) -> Column:
-    typed = placeholder(raw)
-    return F.transform(raw, lambda x, i: F.xxhash64(typed(x, i)))
+def family_tokens(raw: Column, family: str) -> Column:
+    return F.transform(raw, F.lower) if family == "literal" else template_tokens(raw)
+
+
+def hashed(family: str):
+    """Of raw tokens: the hash of each token of the family. Those of two families have nothing in common."""
+
+    def each(raw: Column) -> Column:
+        typed = placeholder(raw)
+        return F.transform(raw, lambda x, i: F.xxhash64(F.lit(family), F.lower(x) if family == "literal" else typed(x, i)))
 
+    return each
 
-def window_hashes(text: Column) -> Column:
-    """Hash of the WINDOW template tokens from each position on; for WINDOW a power of two."""
-    h, span, rest = let(raw_tokens(text), hashed), 1, F.lit(1 << 30)
+
+def doubled_hashes(raw: Column, family: str) -> Column:
+    """Hash of the family's WINDOW tokens from each position on; for WINDOW a power of two."""
+    h, span, rest = let(raw, hashed(family)), 1, F.lit(1 << 30)
     while span < WINDOW:
         after = F.lit(span + 1)
         h = let(h, doubled(after, rest))
@@ -80,37 +98,47 @@ def window_hashes(text: Column) -> Column:
     return let(h, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - WINDOW + 1, F.lit(0))))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def windows_of(text: Column, families: tuple[str, ...]) -> Column:
+    """Array of (pos, h) of all windows of all families; the text is cut into tokens once."""
+
+    def placed(raw: Column) -> Column:
+        return F.concat(*(F.transform(doubled_hashes(raw, f), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for f in families))
+
+    return let(raw_tokens(text), placed)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, families: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, item_id, n_windows, share, n_slots, slot_agreement) for each document that holds an item."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    items = cut(items.withColumn("raw", raw_tokens(F.col("text"))).withColumn("tokens", template_tokens(F.col("raw"))), "items")
-    spread = items.select("item_id", "tokens", F.posexplode(window_hashes(F.col("text"))).alias("ipos", "h"))
+    items = items.withColumn("raw", raw_tokens(F.col("text")))
+    items = cut(reduce(DataFrame.union, (items.select("item_id", F.lit(f).alias("family"), "text", "raw", family_tokens(F.col("raw"), f).alias("tokens")) for f in families)), "items")
+    spread = reduce(DataFrame.union, (items.where(F.col("family") == f).select("item_id", "family", "tokens", F.posexplode(doubled_hashes(F.col("raw"), f)).alias("ipos", "h")) for f in families))
     plain = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUM, NAME, UNIT)))
-    windows = cut(spread.where(plain >= LITERALS).select("item_id", "ipos", "h"), "windows")
-    totals = windows.groupBy("item_id").agg(F.count("*").alias("total"))
-    side = windows.join(F.broadcast(totals) if windows.count() <= BROADCAST else totals, "item_id")
+    windows = cut(spread.where((plain >= LITERALS) | (F.col("family") == "literal")).select("item_id", "family", "ipos", "h"), "windows")
+    totals = windows.groupBy("item_id", "family").agg(F.count("*").alias("total"))
+    side = windows.join(F.broadcast(totals) if windows.count() <= BROADCAST else totals, ["item_id", "family"])
     if windows.count() <= BROADCAST:
         side = F.broadcast(side)
 
-    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(window_hashes(F.col("text"))).alias("dpos", "h"))
-    hits = placed.join(side, "h").select("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "total").distinct()
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"), F.first("total").alias("total"), F.collect_set("ipos").alias("at"))
+    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.inline(windows_of(F.col("text"), families)).alias("dpos", "h"))
+    hits = placed.join(side, "h").select("doc_id", "item_id", "family", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "total").distinct()
+    by = ["doc_id", "item_id", "family", "shift"]
+    aligned = hits.groupBy(*by).agg(F.count("*").alias("n"), F.first("total").alias("total"), F.collect_set("ipos").alias("at"))
     aligned = cut(aligned.where(F.col("n") >= F.least(F.lit(RUN), F.ceil(F.col("total") * SHARE))), "aligned")
 
     texts = docs.select("doc_id", "text").join(aligned.select("doc_id").distinct(), "doc_id", "left_semi")
-    both = aligned.join(texts.select("doc_id", raw_tokens(F.col("text")).alias("theirs")), "doc_id").join(items.select("item_id", "tokens", "raw"), "item_id")
+    both = aligned.join(texts.select("doc_id", raw_tokens(F.col("text")).alias("theirs")), "doc_id").join(items.select("item_id", "family", "tokens", "raw"), ["item_id", "family"])
     covered = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.exists("at", lambda p: (p <= i) & (i < p + WINDOW)))
     slot = F.transform(
         F.filter(covered, lambda i: F.get("tokens", i).isin(NUM, NAME, UNIT)),
         lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("raw", i)).alias("mine"), F.lower(F.get("theirs", i + F.col("shift"))).alias("yours")),
     )
-    slots = both.select("doc_id", "item_id", "shift", F.explode(slot).alias("slot")).select("doc_id", "item_id", "shift", "slot.*")
-    by = ["doc_id", "item_id", "shift"]
+    slots = both.select(*by, F.explode(slot).alias("slot")).select(*by, "slot.*")
     pairs = slots.groupBy(*by, "kind", "mine", "yours").agg(F.count("*").alias("n"))
     values = pairs.groupBy(*by, "kind", "mine").agg(F.max("n").alias("agree"), F.sum("n").alias("n"))
     checked = values.groupBy(*by).agg(F.sum("n").alias("n_slots"), (F.sum("agree") / F.sum("n")).alias("slot_agreement"))
     found = aligned.join(checked, by, "left").where(F.coalesce("slot_agreement", F.lit(1.0)) >= AGREE)
-    best = F.max_by(F.struct("n", "total", "n_slots", "slot_agreement"), F.struct("n", -F.col("shift"))).alias("b")
+    best = F.max_by(F.struct("n", "total", "n_slots", "slot_agreement"), F.struct("n", -F.col("shift"), "family")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("b.n").alias("n_windows"), (F.col("b.n") / F.col("b.total")).alias("share"), F.coalesce("b.n_slots", F.lit(0)).alias("n_slots"), F.coalesce("b.slot_agreement", F.lit(1.0)).alias("slot_agreement")
     )
@@ -118,5 +146,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns as they are."""
-    found = cut(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    found = cut(contaminated(docs, benchmark, ALL).select("doc_id").distinct(), "contaminated")
     return docs.join(sent(found), "doc_id", "left_anti").select(docs.columns)

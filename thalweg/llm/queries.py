@@ -83,9 +83,9 @@ def op10_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontaminate import contaminated
+    from .decontaminate import ALL, contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ALL)
 
 
 @query
