@@ -89,3 +89,19 @@ def test_copies_in_any_case(spark):
     got = {(r.doc_id, r.item_id) for r in D.contaminated(df, items, D.ALL).collect()}
     assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (6, 1)}
     assert [r.doc_id for r in D.drop_contaminated(df, items).collect()] == [5]
+
+
+def test_values_of_other_lengths(spark):
+    question = "Anna buys 3 kg of red apples and then Anna sells 2 kg of them to Boris before noon, how many kg does Anna have if 3 apples were bad?"
+    short = "Mary Ann lives in New York City on the way home"  # 8 windows of one token each need the names apart
+    items = spark.createDataFrame([(1, question), (2, short)], "item_id long, text string")
+    docs = [
+        (1, question.replace("Anna", "Mary Ann")),
+        (2, "so it was " + question.replace("3", "12 000").replace("Boris", "Boris Witt") + " so it was"),
+        (3, question.replace("Anna", "Mary Ann", 1).replace("3", "9 500", 1)),  # slots that contradict
+        (4, short.replace("Mary", "Jane")),
+        (5, "Mary Ann buys 3 kg of red apples and then"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(df, items).collect()} == {(1, 1), (2, 1), (4, 2)}
+    assert [r.doc_id for r in D.drop_contaminated(df, items).collect()] == [5]  # 3 has a long literal part

@@ -7,6 +7,10 @@ fours, eights) and hash-joined with the benchmark's windows, which are broadcast
 most BROADCAST of them and joined by shuffle beyond that. Windows with fewer than LITERALS plain
 words say too little and are left out.
 
+The runs family is the same with each run of names, and each run of numbers, as one placeholder whose value is
+the whole run: a name or number may then be replaced by one of another number of tokens and the windows stay
+at one shift. Templates as they are remain beside it, as short items may have too few tokens once runs are one.
+
 The literal family has windows of the lower-cased tokens as they are, names and numbers included and with no
 least number of plain words, so copies in capitals or title case match, and items that are themselves in
 capitals or mostly names and numbers. contaminated() takes the families asked for, templates alone if none
@@ -43,7 +47,7 @@ days day weeks week months month years year dollars dollar euros euro cents cent
 degree m g l h s
 """.split()
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
-TEMPLATES = ("template",)
+TEMPLATES = ("template", "runs")
 ALL = (*TEMPLATES, "literal")
 
 
@@ -69,50 +73,81 @@ def template_tokens(raw: Column) -> Column:
     return F.transform(raw, placeholder(raw))
 
 
-def doubled(after: Column, rest: Column):
-    """Joins the hash at each position with the one that starts where its tokens end."""
-    return lambda x: F.zip_with(x, F.slice(x, after, rest), lambda a, b: F.xxhash64(a, b))
+def doubled(after: Column, rest: Column, family: str | None):
+    """Joins the hash at each position, and the family if given, with the one that starts where its tokens end."""
+    salt = [F.lit(family)] if family else []
+    return lambda x: F.zip_with(x, F.slice(x, after, rest), lambda a, b: F.xxhash64(*salt, a, b))
+
+
+def starts_run(tokens: Column, i: Column) -> Column:
+    """Whether the token at i is not a name after a name or a number after a number."""
+    x = F.get(tokens, i)
+    return ~(x.isin(NAME, NUM) & x.eqNullSafe(F.get(tokens, i - 1)))
+
+
+def in_runs(tokens: Column) -> Column:
+    """The tokens without those that go on with a run."""
+    return F.filter(tokens, lambda _, i: starts_run(tokens, i))
+
+
+def run_values(raw: Column) -> Column:
+    """The raw text of each token that in_runs leaves."""
+    every = F.transform(raw, lambda _, i: i)
+
+    def joined(starts: Column) -> Column:
+        return F.transform(starts, lambda s, k: F.array_join(F.slice(raw, s + 1, F.coalesce(F.get(starts, k + 1), F.size(raw)) - s), " "))
+
+    return let(template_tokens(raw), lambda tokens: let(F.filter(every, lambda i: starts_run(tokens, i)), joined))
 
 
 def family_tokens(raw: Column, family: str) -> Column:
+    if family == "runs":
+        return let(template_tokens(raw), in_runs)
     return F.transform(raw, F.lower) if family == "literal" else template_tokens(raw)
 
 
-def hashed(family: str):
-    """Of raw tokens: the hash of each token of the family. Those of two families have nothing in common."""
+def slot_values(raw: Column, family: Column) -> Column:
+    """What stands in the text for each token of the family."""
+    return F.when(family == "runs", run_values(raw)).otherwise(raw)
+
+
+def hashed(raw: Column) -> Column:
+    typed = placeholder(raw)
+    return F.transform(raw, lambda x, i: F.xxhash64(typed(x, i)))
 
-    def each(raw: Column) -> Column:
-        typed = placeholder(raw)
-        return F.transform(raw, lambda x, i: F.xxhash64(F.lit(family), F.lower(x) if family == "literal" else typed(x, i)))
 
-    return each
+def hashed_in_runs(hashes: Column) -> Column:
+    """What hashed() gives for the tokens that in_runs leaves."""
+    number, name = F.xxhash64(F.lit(NUM)), F.xxhash64(F.lit(NAME))
+    return F.filter(hashes, lambda h, i: ~(((h == number) | (h == name)) & h.eqNullSafe(F.get(hashes, i - 1))))
 
 
-def doubled_hashes(raw: Column, family: str) -> Column:
-    """Hash of the family's WINDOW tokens from each position on; for WINDOW a power of two."""
-    h, span, rest = let(raw, hashed(family)), 1, F.lit(1 << 30)
+def windows_of(hashes: Column, family: str) -> Column:
+    """Hash of the WINDOW tokens from each position on, for WINDOW a power of two. Those of two families have nothing in common."""
+    h, span, rest = hashes, 1, F.lit(1 << 30)
     while span < WINDOW:
         after = F.lit(span + 1)
-        h = let(h, doubled(after, rest))
         span *= 2
+        h = let(h, doubled(after, rest, family if span == WINDOW else None))
     return let(h, lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - WINDOW + 1, F.lit(0))))
 
 
-def windows_of(text: Column, families: tuple[str, ...]) -> Column:
-    """Array of (pos, h) of all windows of all families; the text is cut into tokens once."""
+def window_hashes(raw: Column, families: tuple[str, ...]) -> Column:
+    """An array of window hashes for each family."""
 
-    def placed(raw: Column) -> Column:
-        return F.concat(*(F.transform(doubled_hashes(raw, f), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for f in families))
+    def all_windows(typed: Column) -> Column:
+        tokens = {"template": typed, "runs": hashed_in_runs(typed), "literal": F.transform(raw, lambda x: F.xxhash64(F.lower(x)))}
+        return F.array(*(windows_of(tokens[f], f) for f in families))
 
-    return let(raw_tokens(text), placed)
+    return let(hashed(raw), all_windows)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, families: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, item_id, n_windows, share, n_slots, slot_agreement) for each document that holds an item."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     items = items.withColumn("raw", raw_tokens(F.col("text")))
-    items = cut(reduce(DataFrame.union, (items.select("item_id", F.lit(f).alias("family"), "text", "raw", family_tokens(F.col("raw"), f).alias("tokens")) for f in families)), "items")
-    spread = reduce(DataFrame.union, (items.where(F.col("family") == f).select("item_id", "family", "tokens", F.posexplode(doubled_hashes(F.col("raw"), f)).alias("ipos", "h")) for f in families))
+    items = cut(reduce(DataFrame.union, (items.select("item_id", F.lit(f).alias("family"), "raw", slot_values(F.col("raw"), F.lit(f)).alias("mine"), family_tokens(F.col("raw"), f).alias("tokens")) for f in families)), "items")
+    spread = reduce(DataFrame.union, (items.where(F.col("family") == f).select("item_id", "family", "tokens", F.posexplode(F.get(window_hashes(F.col("raw"), (f,)), 0)).alias("ipos", "h")) for f in families))
     plain = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUM, NAME, UNIT)))
     windows = cut(spread.where((plain >= LITERALS) | (F.col("family") == "literal")).select("item_id", "family", "ipos", "h"), "windows")
     totals = windows.groupBy("item_id", "family").agg(F.count("*").alias("total"))
@@ -120,18 +155,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, families: tuple[str, ...
     if windows.count() <= BROADCAST:
         side = F.broadcast(side)
 
-    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.inline(windows_of(F.col("text"), families)).alias("dpos", "h"))
+    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.explode(let(raw_tokens(F.col("text")), lambda raw: window_hashes(raw, families))).alias("h"))
+    placed = placed.select("doc_id", F.posexplode("h").alias("dpos", "h"))
     hits = placed.join(side, "h").select("doc_id", "item_id", "family", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "total").distinct()
     by = ["doc_id", "item_id", "family", "shift"]
     aligned = hits.groupBy(*by).agg(F.count("*").alias("n"), F.first("total").alias("total"), F.collect_set("ipos").alias("at"))
     aligned = cut(aligned.where(F.col("n") >= F.least(F.lit(RUN), F.ceil(F.col("total") * SHARE))), "aligned")
 
-    texts = docs.select("doc_id", "text").join(aligned.select("doc_id").distinct(), "doc_id", "left_semi")
-    both = aligned.join(texts.select("doc_id", raw_tokens(F.col("text")).alias("theirs")), "doc_id").join(items.select("item_id", "family", "tokens", "raw"), ["item_id", "family"])
+    texts = docs.select("doc_id", "text").join(sent(cut(aligned.select("doc_id").distinct(), "aligned_ids")), "doc_id", "left_semi")
+    both = aligned.join(texts.select("doc_id", raw_tokens(F.col("text")).alias("theirs")), "doc_id").withColumn("theirs", slot_values(F.col("theirs"), F.col("family")))
+    both = both.join(items.select("item_id", "family", "tokens", "mine"), ["item_id", "family"])
     covered = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.exists("at", lambda p: (p <= i) & (i < p + WINDOW)))
     slot = F.transform(
         F.filter(covered, lambda i: F.get("tokens", i).isin(NUM, NAME, UNIT)),
-        lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("raw", i)).alias("mine"), F.lower(F.get("theirs", i + F.col("shift"))).alias("yours")),
+        lambda i: F.struct(F.get("tokens", i).alias("kind"), F.lower(F.get("mine", i)).alias("mine"), F.lower(F.get("theirs", i + F.col("shift"))).alias("yours")),
     )
     slots = both.select(*by, F.explode(slot).alias("slot")).select(*by, "slot.*")
     pairs = slots.groupBy(*by, "kind", "mine", "yours").agg(F.count("*").alias("n"))
