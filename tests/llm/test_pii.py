@@ -71,3 +71,17 @@ def test_added_spans_and_masks(spark):
     assert masked[200].text == "mail é <EMAIL> now" and masked[200].n_chars == 18
     assert tuple(masked[201]) == rows[-2] and tuple(masked[202]) == rows[-1] and tuple(masked[100]) == rows[30]
     assert find_pii(df.limit(0)).collect() == [] and mask_pii(df.limit(0)).collect() == []
+
+
+def test_quoted_spaced_and_long_secrets(spark):
+    def key(i, n=40):
+        return hashlib.sha512(str(i).encode()).hexdigest()[:n] if n <= 128 else "".join(hashlib.sha512(f"{i} {k}".encode()).hexdigest() for k in range(4))[:n]
+
+    forms = ['see token = "{}" here', "see token='{}' here", "see secret: {} here", '{{"api_key": "{}"}}', "see password={} here"]
+    rows = [(10 * i + k, f.format(key(i))) for i in range(20) for k, f in enumerate(forms)]
+    rows += [(1000, f'token = "{key(7, 300)}"'), (1001, "the word is: something and page : nothing more")]
+    got = {r.doc_id: r.text for r in mask_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(20):
+        for k, f in enumerate(forms):
+            assert got[10 * i + k] == f.format("<SECRET>")
+    assert got[1000] == 'token = "<SECRET>"' and got[1001] == rows[-1][1]

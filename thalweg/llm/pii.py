@@ -2,7 +2,8 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and checks. Candidates for more (secrets in
 key=value text, national numbers, IBANs, titled names, phone numbers without a country code) come from
-one broader pattern. Labelers vote on each candidate: a strict pattern, gazetteers, the context before
+one broader pattern. A secret's value may stand in quotes and up to eight spaces from the = or : after its key, and
+runs to its end: the closing quote, or the last letter, digit or sign of _+/~.- with = as padding. Labelers vote on each candidate: a strict pattern, gazetteers, the context before
 it, and its shape. Expectation-maximisation over the counts of vote patterns of the whole corpus
 estimates how reliable each labeler is; a logistic span classifier is fitted to the resulting
 posteriors over kind and votes, and candidates it accepts are added where no base span is. Both fits
@@ -30,17 +31,20 @@ BASE = {
 }
 #: Something that every text with a match has.
 HINT = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?+){15}[0-9]", "phone": r"\+[0-9][\x20().0-9-]"}
+#: From the last letter of a key to where its value or the value's quote begins.
+KEY = r"[A-Za-z_][\"']?\s{0,8}[=:]\s{0,8}"
 EXTRA = {
-    "secret": r"(?<=[A-Za-z_][=:])[A-Za-z0-9_+/~.-]{8,128}",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?",
     "tel": r"(?<![0-9+(-])\([0-9]{3}\)\x20?[0-9]{3}[\x20-][0-9]{4}(?![0-9])",
+    # last: a value that one of the others describes is theirs
+    "secret": rf"(?<=[=:\s\"'])(?:(?<={KEY}[\"'])[^\s\"']{{8,}}+(?=[\"'])|(?<={KEY}[\"']?)[A-Za-z0-9_+/~.-]{{8,}}+={{0,2}})",
 }
 CANDIDATE = "|".join(f"(?:{p})" for p in EXTRA.values())
-CUE = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_-]?key|ssn|social|iban|account|call|tel|phone|mobile|contact|name|dear|from|to|signed)[^A-Za-z0-9]{0,4}$"
-ANTI = r"(?i)(?:version|build|commit|rev|sha1?|md5|isbn|issn|order|ref|page|id|http|https|url|src|href|class|style|charset)[^A-Za-z0-9]{0,4}$"
-GAZETTEER = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|social security|ssn|iban|bank)[^A-Za-z0-9]{0,4}$"
+CUE = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_-]?key|ssn|social|iban|account|call|tel|phone|mobile|contact|name|dear|from|to|signed)[^A-Za-z0-9]{0,20}$"
+ANTI = r"(?i)(?:version|build|commit|rev|sha1?|md5|isbn|issn|order|ref|page|id|http|https|url|src|href|class|style|charset)[^A-Za-z0-9]{0,20}$"
+GAZETTEER = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|social security|ssn|iban|bank)[^A-Za-z0-9]{0,20}$"
 COUNTRIES = ["AD", "AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
 LABELERS, ROUNDS, STEPS, ACCEPT, BEFORE = ["strict", "gazetteer", "context", "shape"], 12, 25, 0.5, 32
 
@@ -199,7 +203,7 @@ def accepted(weights: dict[str, float]):
 
 def candidate_spans(text: Column) -> Column:
     kind = "array<struct<s:int,e:int,kind:string," + ",".join(f"{k}:int" for k in LABELERS) + ">>"
-    hint = r"[A-Za-z_][=:][A-Za-z0-9_+/~.-]{8}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}|\b(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z]|\([0-9]{3}\)\x20?[0-9]{3}"
+    hint = KEY + r"[\"']?[^\s\"']{8}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}|\b(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z]|\([0-9]{3}\)\x20?[0-9]{3}"
     return F.when(text.rlike(hint), F.transform(walked(*pieces(text, CANDIDATE)), votes)).otherwise(F.array().cast(kind))
 
 
