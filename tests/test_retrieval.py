@@ -173,3 +173,15 @@ def test_settings(tmp_path, monkeypatch):
     except ValueError as e:
         assert "nonsense" in str(e)
     assert conf.take_option(["a", "--settings=x", "b"]) == ("x", ["a", "b"])
+
+
+def test_merge_parts_searches_all_chunks(spark, tmp_path):
+    from thalweg.plans import catalogue
+
+    long = "\n".join(f"line {k} about reefs and sand" for k in range(400)) + "\nzebra walrus"
+    docs = [(1, "zebra walrus heron", "src1"), (2, "walrus only", "src7"), (3, long, "src9"), (4, "nothing here", "src1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    padded = "so " * 30 + "heron"  # its term comes late in the text
+    spark.createDataFrame([(0, "zebra walrus"), (20, padded), (7, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query_id, r.path) for r in catalogue.merge_parts(spark, str(tmp_path)).collect()}
+    assert got == {(0, "src1/1.md"), (0, "src7/2.md"), (0, "src9/3.md"), (20, "src1/1.md")}

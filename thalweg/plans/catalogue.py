@@ -445,9 +445,13 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @named()
 def merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = chunk_rows(spark, sf_dir).where("path LIKE 'src1/%' AND name LIKE '% (part %'")
-    scored_ = hits.select("repo", "path", "kind", "name", F.col("meta.cell").alias("cell"), "text", "start_line", "end_line", F.xxhash64("path", "start_line").alias("doc_id"), (1.0 / (1 + F.pmod(F.xxhash64("path", "start_line"), F.lit(97)))).alias("fused"))
-    return search.excerpts(search.top(scored_, 24), 8).select("group_no", "path", "name", "start_line", "end_line", "pieces", "text")
+    """Excerpts of the best 24 of all chunks, for each benchmark row whose id is divisible by 20."""
+    chunks = chunk_rows(spark, sf_dir).select("repo", "path", "kind", "name", F.col("meta.cell").alias("cell"), "text", "start_line", "end_line")
+    chunks = chunks.withColumn("doc_id", F.xxhash64("path", "name", "cell", "start_line", "end_line"))
+    queries = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scores = search.bm25(search.postings(chunks), search.doc_lengths(chunks), queries)
+    best = search.top(scores.select("query_id", "doc_id", F.round("bm25", 9).alias("fused")), 24, by=("query_id",))
+    return search.excerpts(chunks.join(best, "doc_id"), 8, by=("query_id",)).select("query_id", "group_no", "path", "name", "start_line", "end_line", "pieces", "text")
 
 
 @named("""WITH s AS (SELECT source, lang, min(doc_id) AS o FROM documents GROUP BY ALL)
