@@ -3,7 +3,7 @@
 1. Anchors. Of the GRAM-byte strings inside each LENGTH-byte window the one with the smallest hash is
    the window's anchor (the leftmost on a tie), so equal windows have equal anchors at equal offsets.
    Neighbouring windows mostly share an anchor: a text yields a row per run of windows with one
-   anchor (about one for 110 bytes), with a digest of the bytes that the run covers, its context.
+   anchor (about one for 110 bytes), with a 128-bit digest of the bytes that the run covers, its context.
 2. An anchor that occurs once cannot belong to a repeat. If all contexts of an anchor are the same,
    all their windows repeat; so do those of any context that occurs twice. Both are plain
    aggregations with map-side combine. What is left are anchors with different contexts: the ends
@@ -15,6 +15,9 @@
    and contexts go on together only if they agree on all bytes that any window of the cell has.
    Cells narrow until a group is small enough to sort, or a cell is one offset and equality decides.
 
+Beside the bytes, remove_repeats() counts the words of passages of WORDS words and more that other rows hold
+too (n_shared_words, see passages.py): 50 words may be fewer than LENGTH bytes. These are counted, not removed.
+
 Null and empty texts and texts shorter than LENGTH have no repeats. Rows are told apart by doc_id and
 a hash of the text, so repeated rows are copies of each other. Empty tables give an empty result.
 Extra columns are ignored.
@@ -29,15 +32,17 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_arrow_batches
+from .common import cut, drop, small_arrow_batches
+from .passages import WORDS, shared_words
 from .shingles import mixed, powers, prefix_hash
 
 LENGTH, GROUP, CELLS, PIECE, BUFFER = 400, 64, (13, 4, 1), 1 << 19, 1 << 18
-ANCHORS = "doc_id long, tid int, lo int, hi int, off int, key long, ctx long"
-ITEMS = "doc_id long, tid int, lo int, hi int, off int, key long, ctx long, n long, x binary"
+ANCHORS = "doc_id long, tid int, lo int, hi int, off int, key long, ctx long, ctx2 long"
+ITEMS = "doc_id long, tid int, lo int, hi int, off int, key long, ctx long, ctx2 long, n long, x binary"
+CONTEXT = ["key", "ctx", "ctx2"]
 LOW = np.uint64(0xFFFFFF)
 
 
@@ -65,10 +70,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def digest(data: bytes, seed: int) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(data, seed=seed)
+    return signed(d >> 64), signed(d & 0xFFFFFFFFFFFFFFFF)
+
+
 def anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in ANCHORS.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for doc, tid, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -83,7 +93,9 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                 cols[3] += hi
                 cols[4] += [p - q for p, q in zip(at, lo, strict=True)]
                 cols[5] += h
-                cols[6] += [signed(xxhash.xxh3_64_intdigest(raw[q : r + length], seed=p - q)) for q, r, p in zip(lo, hi, at, strict=True)]
+                first, second = zip(*(digest(raw[q : r + length], p - q) for q, r, p in zip(lo, hi, at, strict=True)), strict=True)
+                cols[6] += first
+                cols[7] += second
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return docs.mapInArrow(run, ANCHORS)
@@ -220,7 +232,8 @@ def split_cells(items: DataFrame, width: int, length: int) -> DataFrame:
                     common = x[off - c1 : off - c2 + length]
                     seed = r["key"] & 0x7FFFFFFFFFFFFFFF
                     key = signed(xxhash.xxh3_64_intdigest(common, seed=seed ^ (cell * 0x9E3779B1)))
-                    rows.append(r | {"lo": r["lo"] + off - d2, "hi": r["lo"] + off - d1, "off": d2, "key": key, "ctx": signed(xxhash.xxh3_64_intdigest(part, seed=d2)), "x": part})
+                    ctx, ctx2 = digest(part, d2 % (1 << 64))
+                    rows.append(r | {"lo": r["lo"] + off - d2, "hi": r["lo"] + off - d1, "off": d2, "key": key, "ctx": ctx, "ctx2": ctx2, "x": part})
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
 
     return items.select(*(c.split(" ")[0] for c in ITEMS.split(", "))).mapInArrow(run, ITEMS)
@@ -230,16 +243,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tid, lo, hi): the windows of docs(doc_id, tid, text) that start at lo..hi occur elsewhere too."""
     span = ["doc_id", "tid", "lo", "hi"]
     every = cut(anchors(docs.select("doc_id", "tid", "text"), length), "anchors")
-    often = every.groupBy("key").agg(F.count("*").alias("times"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("times > 1")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("ctx", "ctx2") for name, f in (("least", F.min), ("most", F.max))]
+    often = every.groupBy("key").agg(F.count("*").alias("times"), *ends).where("times > 1")
     # sums are written before they are joined: then both sides are plain shuffles and a hot anchor can be split
-    often = cut(often.select("key", (F.col("least") == F.col("most")).alias("alike")), "often")
+    often = cut(often.select("key", F.expr("least_ctx = most_ctx AND least_ctx2 = most_ctx2").alias("alike")), "often")
     members = cut(every.join(often, "key"), "members")
+    drop(every, often)
     found = [members.where("alike").select(span)]
     mixed_ = members.where("NOT alike").drop("alike")
-    per = mixed_.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
-    mixed_ = cut(mixed_.join(cut(per, "per"), ["key", "ctx"]), "contexts")
+    per = mixed_.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
+    mixed_ = cut(mixed_.join(cut(per, "per"), CONTEXT), "contexts")
     found.append(mixed_.where("n > 1").select(span))
-    one = mixed_.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(["key", "ctx"]).select(*span, "off", "key", "ctx", "n")
+    one = mixed_.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(CONTEXT).select(*span, "off", *CONTEXT, "n")
     todo = cut(with_bytes(one, docs, length), "items")
     for width in CELLS:
         sizes = cut(todo.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
@@ -249,49 +264,56 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not large.limit(1).count():
             break
         parts = cut(split_cells(large, width, length), "cells")
-        per = parts.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
-        parts = parts.join(cut(per, "per"), ["key", "ctx"])
+        per = parts.groupBy(*CONTEXT).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
+        parts = parts.join(cut(per, "per"), CONTEXT)
         found.append(cut(parts.where("times > 1 AND n = 1").select(span), "equal"))
         if width > 1:
             known = F.when(F.col("times") > 1, F.greatest("n", F.lit(2))).otherwise(F.col("n"))
-            todo = cut(parts.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(["key", "ctx"]).select(*span, "off", "key", "ctx", known.cast("long").alias("n"), "x"), "items")
+            todo = cut(parts.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(CONTEXT).select(*span, "off", *CONTEXT, known.cast("long").alias("n"), "x"), "items")
     return reduce(DataFrame.union, found)
 
 
+def spans_of(rows: DataFrame) -> Column:
+    """Joins rows(doc_id, tid) with what is found of them, (of, of_tid)."""
+    return rows["doc_id"].eqNullSafe(F.col("of")) & (rows["tid"] == F.col("of_tid"))
+
+
 def with_bytes(items: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Adds x, the bytes that the windows of each item cover."""
-    per_doc = items.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("lo", "hi", "off", "key", "ctx", "n")).alias("wanted"))
+    per_doc = items.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("lo", "hi", "off", *CONTEXT, "n")).alias("wanted"))
     texts = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid"))).dropDuplicates(["doc_id", "tid"]).select("doc_id", "tid", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in ITEMS.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             rows = []
             for doc, tid, text, wanted in zip(*(c for c in batch.columns), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 for w in wanted.as_py():
-                    rows.append((doc.as_py(), tid.as_py(), w["lo"], w["hi"], w["off"], w["key"], w["ctx"], w["n"], raw[w["lo"] : w["hi"] + length]))
+                    rows.append((doc.as_py(), tid.as_py(), w["lo"], w["hi"], w["off"], w["key"], w["ctx"], w["ctx2"], w["n"], raw[w["lo"] : w["hi"] + length]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return texts.mapInArrow(run, ITEMS)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_bytes]) for each row of docs(doc_id, text)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words[, kept_bytes]) for each row of docs(doc_id, text)."""
     small_arrow_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.hash("text"))
-    spans = repeated_windows(keyed, length).groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    rows = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")), "left").select("doc_id", "text", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
+    spans = repeated_windows(keyed, length).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = spans.join(shared_words(keyed, words), spans_of(spans), "full")
+    found = found.select(F.coalesce(spans["doc_id"], F.col("of")).alias("of"), F.coalesce(spans["tid"], F.col("of_tid")).alias("of_tid"), "spans", "n_shared_words")
+    rows = keyed.join(found, spans_of(keyed), "left").select("doc_id", "text", "spans", F.coalesce("n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + ", kept_bytes binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in schema.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: len(names)]
         for batch in batches:
             out = []
-            for doc, text, found in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for doc, text, found, shared in zip(*batch.columns, strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 kept, at, removed, n = [], 0, 0, 0
                 end = -1
@@ -304,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
                     at = end = max(end, hi)
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                out.append((doc.as_py(), len(raw), removed, n, hashlib.sha256(left).hexdigest(), left)[: len(names)])
+                out.append((doc.as_py(), len(raw), removed, n, hashlib.sha256(left).hexdigest(), shared.as_py(), left)[: len(names)])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

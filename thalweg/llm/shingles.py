@@ -51,7 +51,7 @@ def _word_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words (runs without white space) of lower-cased bytes, in pieces of bounded size."""
+    """Hashes of the words (runs without white space), in pieces of bounded size."""
     if len(data) <= PIECE:
         return _word_hashes(np.frombuffer(data, np.uint8))
     out, at = [], 0
