@@ -60,3 +60,17 @@ def test_warc_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
         assert (r.record_type, r.refers_to) == (("response", None) if keeper == page else ("revisit", keeper))
     assert round_trip(df.limit(0)).collect() == []
+
+
+def test_warc_repeated_and_null_pages(spark, tmp_path):
+    """Rows that repeat a page_id with other payloads keep apart; a null page_id revisits; large payloads have files of their own."""
+    from thalweg.llm.warc import read_archives, write_archives
+
+    a, b = "a" * 1500, "b" * 5000
+    rows = [(1, "u", a), (1, "u", b), (4, "u", b), (4, "u", a), (4, "u", a), (None, "u", a), (None, "u", "c" * 1200), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_archives(df, f"{tmp_path}/w", per_file=2, large=2000)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read_archives(spark, f"{tmp_path}/w").collect()), key=str)
+    kinds = {1500: 4, 5000: 4}
+    want = [(p, n := len(h or ""), "revisit" if n in kinds and p != kinds[n] else "response", kinds[n] if n in kinds and p != kinds[n] else None) for p, _, h in rows]
+    assert got == sorted(want, key=str)

@@ -2,11 +2,17 @@
 
 Headers (page, payload digest, payload length) are grouped by digest: of records with equal payloads
 of at least MIN_BYTES bytes the one with the largest page_id keeps its response, the others become
-revisit records that refer to it. The archives are written with fresh headers by Spark's own writer
-(each row one record, CRLF CRLF between records, gzip), so any file system and committer serves and a
-lost executor's files are written again. Reading parses by Content-Length, recomputes digests, and
+revisit records that refer to it. Only headers are shuffled; which pages are revisits goes back to the
+payloads by broadcast while that is at most a million rows, and by a join beyond. The archives are
+written with fresh headers by Spark's own writer (each row one record, CRLF CRLF between records, gzip,
+the file one gzip member), so any file system and committer serves and a lost executor's files are
+written again. A file holds at most FILE_BYTES of payload, or one record: payloads above LARGE_BYTES get
+files of their own kind, with fewer records. Reading parses by Content-Length, recomputes digests, and
 joins revisit records to the responses they refer to.
 
+A record's id is made of page_id and payload digest: pages that repeat an id with other payloads have ids of
+their own, rows that repeat both are the same record twice.
+
 A null html is an empty payload; empty and short payloads are always responses. All rows that bear
 the largest page_id of their payload are responses, so repeated rows stay repeated; a null page_id
 never is the largest. A null url becomes about:blank. Empty tables give empty archives. Extra
@@ -16,7 +22,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,51 +29,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, small_arrow_batches
+from .common import cut, own_folder, sent, small_arrow_batches
 
-MIN_BYTES, PER_FILE = 1000, 2000
+MIN_BYTES, PER_FILE, LARGE_BYTES, FILE_BYTES = 1000, 2000, 1 << 18, 1 << 29
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = "page_id long, record_id string, record_type string, refers_to_record string, payload_bytes long, payload_digest string"
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, payload_digest, refers_to) for each page whose payload a page with a larger page_id keeps."""
+def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, int]:
+    """(page_id, payload_digest, refers_to) for each page whose payload a page with a larger page_id keeps; the longest payload."""
     payload = F.coalesce("html", F.lit(""))
-    headers = cut(pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest")).where(F.col("payload_bytes") >= min_bytes), "headers")
+    headers = cut(pages.select("page_id", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(F.encode(payload, "UTF-8")).alias("payload_digest")), "headers")
+    longest = headers.agg(F.max("payload_bytes").alias("n")).first()["n"] or 0
+    headers = headers.where(F.col("payload_bytes") >= min_bytes)
     keepers = headers.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    return headers.join(keepers, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_digest", "refers_to").distinct()
+    # written before it is joined, so that a payload that very many pages share can be split
+    revisits = headers.join(cut(keepers, "keepers"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return cut(revisits.select("page_id", "payload_digest", "refers_to").distinct(), "revisits"), longest
 
 
-def record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))))
+def record_id(page_id: Column, digest: Column) -> Column:
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(":"), digest))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2025-01-01T00:00:00Z", per_file: int = PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = "2025-01-01T00:00:00Z", per_file: int = PER_FILE, large: int = LARGE_BYTES) -> None:
     """Write one record per row of pages(page_id, url, html) under path."""
     payload = F.coalesce("html", F.lit(""))
-    revisits = resolve_revisits(pages, min_bytes).select(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), "refers_to")
+    revisits, longest = resolve_revisits(pages, min_bytes)
+    revisits = revisits.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), "refers_to")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
-    rows = own.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    rows = own.join(sent(revisits), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
     revisit = F.col("of_digest").isNotNull()
     body = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]+", " ")
     head = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("digest"))),
         F.concat(F.lit("X-Page-ID: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), url),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"), F.col("digest")))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"), body)
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    kinds = [(F.octet_length("payload") <= large, per_file)]
+    if longest > large:
+        kinds.append((F.octet_length("payload") > large, max(1, min(per_file, FILE_BYTES // longest))))
+    for kind, most in kinds:
+        rows.where(kind).select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 class _Inflated:
@@ -157,7 +171,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write pages to deduplicated archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/thalweg/warc-{uuid.uuid4().hex}"
+    path = own_folder(spark, "warc")
     write_archives(pages, path, min_bytes)
     return read_archives(spark, path)
 
