@@ -22,7 +22,8 @@ No list is collected anywhere: lists are rows, and pairs come from equi-joins on
 
 Null, empty and blank texts have an empty set and link with nothing. Documents with fewer words than
 the width have one shingle, the whole sequence. Rows with a null doc_id link with nothing. Rows with
-the same doc_id are one node and each gets its row. Empty tables give an empty result. Extra columns
+the same doc_id are one node and each gets its row; where their texts differ, the one whose set has the
+smallest digest is compared and stands for the node. Empty tables give an empty result. Extra columns
 are ignored.
 """
 
@@ -41,7 +42,7 @@ from .common import components, cut, sent, small_arrow_batches
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
 K, SHARED, TURNS, FAMILIES, CROWD, BLOCK = 48, 22, 2, 4, 128, 2048
-SKETCH = "doc_id long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
+SKETCH = "doc_id long, tid long, n_shingles long, digest binary, sketch array<long>, bits array<long>"
 BITS, FAR_BITS = 256, 54
 
 
@@ -65,7 +66,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, values, offsets, bits = [], [], [], [0], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
                 h = shingle_hashes(word_hashes(data), width)
                 counts.append(len(h))
@@ -75,9 +76,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 offsets.append(offsets[-1] + len(values[-1]))
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch", "bits"])
+            names = ["doc_id", "tid", "n_shingles", "digest", "sketch", "bits"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.list_(pa.int64()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, SKETCH)
 
 
 def lists(reps: DataFrame, percent: int) -> DataFrame:
@@ -107,7 +109,7 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the union-sketch estimate and then the Jaccard of the full sets."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = only(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids).dropDuplicates(["doc_id"])
+    texts = only(docs.select("doc_id", "text"), ids).dropDuplicates(["doc_id"])
     both = cut(only(reps.select("doc_id", "n_shingles", "sketch"), ids).join(texts, "doc_id"), "texts")
     x = both.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("text").alias("ta"))
     y = both.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("text").alias("tb"))
@@ -225,17 +227,24 @@ def crowded_pairs(large: DataFrame, docs: DataFrame, width: int, percent: int) -
         return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     likely = cut(met.groupBy(*keys).applyInPandas(look, "v long, p1 int, p2 int, side int, doc_id long"), "likely")
-    texts = only(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut(likely.select("doc_id").distinct(), "ids")).dropDuplicates(["doc_id"])
+    texts = only(docs.select("doc_id", "text"), cut(likely.select("doc_id").distinct(), "ids")).dropDuplicates(["doc_id"])
     again = met.join(likely, [*keys, "side", "doc_id"]).join(texts, "doc_id")
     return again.groupBy(*keys).applyInPandas(decide, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tid", F.xxhash64("text"))
     base = cut(sketches(docs, width), "sketches")
     nodes = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = nodes.groupBy("doc_id").agg(F.min_by("tid", F.struct("digest", "tid")).alias("chosen"), F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi")
+    several = cut(several.select("doc_id", "chosen"), "several")
+    if several.limit(1).count():
+        nodes, docs = (x.join(sent(several), "doc_id", "left").where("chosen IS NULL OR tid = chosen").select(x.columns) for x in (nodes, docs))
     copies = nodes.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
-    same = cut(nodes.select("doc_id", "digest").join(copies, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+    # written before it is joined, so that one digest of very many documents can be split
+    copies = nodes.select("doc_id", "digest").join(cut(copies, "digests"), "digest")
+    same = cut(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
     reps = nodes.join(same, nodes["doc_id"] == same["a"], "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bits")
     listed = cut(lists(reps, percent), "lists")
 
