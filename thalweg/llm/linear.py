@@ -78,6 +78,14 @@ class Ftrl:
                 self.n[at] = n + g * g
         return self
 
+    def step(self, g: np.ndarray) -> Ftrl:
+        """One update by a summed gradient, for all slots and the bias; it counts as one row's, so no weight moves far."""
+        at = np.flatnonzero(g)
+        w, n, g = self.weights(at), self.n[at], g[at]
+        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+        self.n[at] = n + g * g
+        return self
+
     def compact(self) -> tuple[np.ndarray, np.ndarray, float]:
         """(slots, weights, bias) of the weights that are not zero."""
         w = self.weights(np.arange(len(self.z)))

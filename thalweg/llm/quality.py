@@ -4,12 +4,15 @@ The text view hashes whitespace-separated words, their last characters and pairs
 characters. The metadata view has language, source and coarse page measures: length, lines, line
 length, shares of marks, capitals, digits and repeated lines. Both are FTRL-proximal logistic models.
 
-At most TRAIN labelled rows outside the held-out fold (crc32 of the doc_id as text, mod 4, is 2) and
-at most POOL unlabelled rows, both in hash order, are used for fitting; a fifth of the labelled rows
-is kept for calibration. In each round each view labels the pool rows it is most sure of for the
-other view. Then each view's margins are calibrated and the two are combined by logistic regression
-on the calibration rows. A document is kept from a score of CUT on, below one half: dropping a good
-document is the worse error. Every row of the table is scored, from its whole text.
+Both start from at most TRAIN labelled rows outside the held-out fold (crc32 of the doc_id as text, mod 4,
+is 2), in hash order; a fifth of them is kept for calibration. In each round every row of the table outside
+that fold is scored by both views where it is; a view that is sure of a row (SURE) labels it for the other
+view. The pseudo-labelled rows' gradients are summed per slot of the other view's table, in whole numbers so
+that partitions don't matter, and are one FTRL step of that view: what reaches the driver is bounded by the
+tables' slots, however many rows take part. Pseudo-labels of a class together weigh no more than its labelled
+rows. Then each view's margins are calibrated and the two are combined by logistic regression on the
+calibration rows. A document is kept from a score of CUT on, below one half: dropping a good document is the
+worse error. Every row of the table is scored, from its whole text.
 
 Null and empty texts, null languages, sources and lengths have features of their own ("absent").
 Rows are scored one by one: repeated rows score alike. Labels that are null or of other documents are
@@ -20,7 +23,7 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from .common import small_arrow_batches
 from .linear import SPACE, Ftrl, Sparse, sigmoid, slots, tokens
 from .shingles import BASE, mixed
-from .toxicity import fold, labelled_sample
+from .toxicity import bounded_rows, fold, labelled_sample
 
-TEXT_BITS, META_BITS, TRAIN, POOL, ROUNDS, MOVED, SURE, EPOCHS, CUT = 18, 14, 6000, 6000, 3, 400, 0.95, 6, 0.3
-VIEW = ["text", "lang", "source", "n_chars"]
+TEXT_BITS, META_BITS, TRAIN, ROUNDS, SURE, EPOCHS, CUT, UNIT = 18, 14, 6000, 2, 0.95, 6, 0.3, 1 << 20
+BITS = (TEXT_BITS, META_BITS)
+SHAPE = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
 def text_view(data: bytes) -> np.ndarray:
@@ -84,8 +88,51 @@ def platt(margins: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
     return w
 
 
-def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], pool: list[tuple[np.ndarray, np.ndarray]]) -> dict | None:
-    """Compact weights of both views, their calibrations and the combination."""
+def sure_gradients(rows: DataFrame, models: list[tuple], weight: np.ndarray, sure: float = SURE) -> list[np.ndarray]:
+    """For each view the gradient over rows(text, lang, source, n_chars) that the other view is sure of.
+
+    Each task returns sums per (view, label, slot); they are added up in the cluster. weight has the most
+    that the rows of a label may count for in all.
+    """
+    told = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [Sparse(bits, *w) for bits, w in zip(BITS, told.value, strict=True)]
+        # the last two entries are for the bias and the number of rows
+        sums = [[np.zeros((1 << bits) + 2, np.int64) for _ in (0, 1)] for bits in BITS]
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = [np.unique(v) for v in views(*row)]
+                p = [float(sigmoid(t.margin(f))) for t, f in zip(tables, found, strict=True)]
+                for v in (0, 1):
+                    if p[v] >= sure or p[v] <= 1 - sure:
+                        into = sums[1 - v][label := int(p[v] >= 0.5)]
+                        step = round((p[1 - v] - label) * UNIT)
+                        into[found[1 - v]] += step
+                        into[-2:] += (step, 1)
+        for v in (0, 1):
+            for label in (0, 1):
+                at = np.flatnonzero(sums[v][label])
+                cols = [np.full(len(at), v, np.int8), np.full(len(at), label, np.int8), at.astype(np.int32), sums[v][label][at]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["view", "label", "slot", "g"])
+
+    summed = rows.mapInArrow(run, "view byte, label byte, slot int, g long").groupBy("view", "label", "slot").agg(F.sum("g").alias("g")).toArrow()
+    view, label, slot, g = (summed.column(k).to_numpy() for k in range(4))
+    out = []
+    for v, bits in enumerate(BITS):
+        total = np.zeros((1 << bits) + 1)
+        for y in (0, 1):
+            mine = (view == v) & (label == y)
+            dense = np.zeros((1 << bits) + 2)
+            dense[slot[mine]] = g[mine]
+            total += dense[:-1] / UNIT * min(1.0, weight[y] / max(1.0, dense[-1]))
+        out.append(total)
+    told.unpersist()
+    return out
+
+
+def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], exchange: Callable[[list[tuple], np.ndarray], list[np.ndarray]], rounds: int = ROUNDS) -> dict | None:
+    """Compact weights of both views, their calibrations and the combination; exchange gives sure_gradients."""
     y = np.array([r[2] for r in labelled], float)
     if len(set(y)) < 2:
         return None
@@ -94,60 +141,43 @@ def cotrain(labelled: list[tuple[np.ndarray, np.ndarray, int]], pool: list[tuple
         held[:] = False
     fit = np.flatnonzero(~held)
     rows = [[labelled[k][v] for k in fit] for v in (0, 1)]
-    targets = [y[fit].tolist(), y[fit].tolist()]
-    left = list(range(len(pool)))
-
-    def trained(v: int) -> tuple[Ftrl, Sparse]:
-        bits = (TEXT_BITS, META_BITS)[v]
-        model = Ftrl(bits, alpha=0.5, l1=(2.0, 0.5)[v], l2=0.05).fit(rows[v], np.array(targets[v]), EPOCHS)
-        return model, Sparse(bits, *model.compact())
-
-    for _ in range(ROUNDS):
-        models = [trained(v)[1] for v in (0, 1)]
-        moved: set[int] = set()
+    models = [Ftrl(bits, alpha=0.5, l1=l1, l2=0.05).fit(rows[v], y[fit], EPOCHS) for v, (bits, l1) in enumerate(zip(BITS, (2.0, 0.5), strict=True))]
+    weight = np.array([(y[fit] == label).sum() for label in (0, 1)], float)
+    for k in range(rounds):
+        steps = exchange([m.compact() for m in models], weight)
         for v in (0, 1):
-            p = np.array([sigmoid(models[v].margin(pool[k][v])) for k in left])
-            for sure, label in ((p, 1.0), (1 - p, 0.0)):
-                best = [k for k in np.argsort(-sure, kind="stable")[:MOVED] if sure[k] >= SURE]
-                rows[1 - v] += [pool[left[k]][1 - v] for k in best]
-                targets[1 - v] += [label] * len(best)
-                moved |= {left[k] for k in best}
-        left = [k for k in left if k not in moved]
-    final = [trained(v) for v in (0, 1)]
+            models[v].step(steps[v]).fit(rows[v], y[fit], 1, seed=k + 2)
     check = np.flatnonzero(held) if held.any() else fit
-    margins = np.array([[final[v][1].margin(labelled[k][v]) for v in (0, 1)] for k in check])
+    final = [Sparse(bits, *m.compact()) for bits, m in zip(BITS, models, strict=True)]
+    margins = np.array([[final[v].margin(labelled[k][v]) for v in (0, 1)] for k in check])
     each = [platt(margins[:, [v]], y[check]) for v in (0, 1)]
     logits = np.column_stack([margins[:, v] * each[v][0] + each[v][1] for v in (0, 1)])
-    return {"models": [m.compact() for m, _ in final], "each": each, "both": platt(logits, y[check])}
+    return {"models": [m.compact() for m in models], "each": each, "both": platt(logits, y[check])}
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN, pool: int = POOL) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN, rounds: int = ROUNDS) -> dict | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [b.column(k).to_pylist() for k in range(2, 6)]
             found = [tuple(np.unique(v).tobytes() for v in views(*row)) for row in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["doc_id", "y", "t", "m"])
 
-    shape = [F.col("doc_id").cast("long"), F.col("y").cast("int"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")]
-    known = labelled_sample(docs, labels, "quality", VIEW, most)
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").where(fold(F.col("doc_id")) != 2)
-    ids = ids.join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    other = docs.select("doc_id", *VIEW).join(F.broadcast(ids), "doc_id").withColumn("y", F.lit(-1))
-    rows = known.select(shape).union(other.select(shape)).mapInArrow(run, "doc_id long, y int, t binary, m binary").collect()
-    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.y, r.t))
-    both = [(np.frombuffer(r.t, np.int32), np.frombuffer(r.m, np.int32), r.y) for r in rows]
-    return cotrain([r for r in both if r[2] >= 0], [r[:2] for r in both if r[2] < 0])
+    shaped = [F.col(c).cast(kind) for c, kind in SHAPE.items()]
+    known = labelled_sample(docs, labels, "quality", list(SHAPE), most).select("doc_id", "y", *shaped)
+    labelled = [(np.frombuffer(r.t, np.int32), np.frombuffer(r.m, np.int32), r.y) for r in bounded_rows(known.mapInArrow(run, "doc_id long, y int, t binary, m binary"), ["t", "m"])]
+    every = docs.where(F.coalesce(fold(F.col("doc_id")) != 2, F.lit(False))).select(*shaped)
+    return cotrain(labelled, lambda models, weight: sure_gradients(every, models, weight), rounds)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, most: int = TRAIN, pool: int = POOL, carry: list[str] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT, most: int = TRAIN, rounds: int = ROUNDS, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of each row (doc_id if not given) and text_score, metadata_score, quality_score, keep."""
     small_arrow_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, pool))
-    carried = docs.select(F.struct(*(carry or ["doc_id"])).alias("own"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, most, rounds))
+    carried = docs.select(F.struct(*(carry or ["doc_id"])).alias("own"), *(F.col(c).cast(kind) for c, kind in SHAPE.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        tables = m and [Sparse(bits, *w) for bits, w in zip((TEXT_BITS, META_BITS), m["models"], strict=True)]
+        tables = m and [Sparse(bits, *w) for bits, w in zip(BITS, m["models"], strict=True)]
         for b in batches:
             out = []
             for row in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True):
