@@ -3,11 +3,15 @@
 Base spans (email, ip, card, phone) follow fixed patterns and checks. Candidates for more (secrets in
 key=value text, national numbers, IBANs, titled names, phone numbers without a country code) come from
 one broader pattern. A secret's value may stand in quotes and up to eight spaces from the = or : after its key, and
-runs to its end: the closing quote, or the last letter, digit or sign of _+/~.- with = as padding. Labelers vote on each candidate: a strict pattern, gazetteers, the context before
-it, and its shape. Expectation-maximisation over the counts of vote patterns of the whole corpus
-estimates how reliable each labeler is; a logistic span classifier is fitted to the resulting
-posteriors over kind and votes, and candidates it accepts are added where no base span is. Both fits
-see only counts per vote pattern (at most 405 of them), as one expression over a single row.
+runs to its end: the closing quote, or the last letter, digit or sign of _+/~.- with = as padding.
+
+Labelers vote on each candidate, for, against or not at all: a strict pattern (check digits of IBANs, numbers
+that can't be issued), gazetteers (key names, countries, given names; placeholder words and numbers known from
+print and film vote against), the context before it, and its shape. Expectation-maximisation over the counts of
+vote patterns of the whole corpus estimates how reliable each labeler is; a logistic span classifier is fitted to
+the resulting posteriors over kind, votes, and length and make-up of the text, and candidates it accepts are added
+where no base span is. Both fits see only counts per pattern (at most 3645 of them), as one expression over a
+single row.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Rows are independent:
 repeated rows give equal results. Empty tables give an empty result; without candidates nothing is
@@ -35,7 +39,7 @@ HINT = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]
 KEY = r"[A-Za-z_][\"']?\s{0,8}[=:]\s{0,8}"
 EXTRA = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[0-9]{1,3})?(?![0-9A-Za-z])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?",
     "tel": r"(?<![0-9+(-])\([0-9]{3}\)\x20?[0-9]{3}[\x20-][0-9]{4}(?![0-9])",
     # last: a value that one of the others describes is theirs
@@ -44,9 +48,21 @@ EXTRA = {
 CANDIDATE = "|".join(f"(?:{p})" for p in EXTRA.values())
 CUE = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth|api[_-]?key|ssn|social|iban|account|call|tel|phone|mobile|contact|name|dear|from|to|signed)[^A-Za-z0-9]{0,20}$"
 ANTI = r"(?i)(?:version|build|commit|rev|sha1?|md5|isbn|issn|order|ref|page|id|http|https|url|src|href|class|style|charset)[^A-Za-z0-9]{0,20}$"
-GAZETTEER = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|social security|ssn|iban|bank)[^A-Za-z0-9]{0,20}$"
+# gazetteers
+KEYS = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|social security|ssn|iban|bank)[^A-Za-z0-9]{0,20}$"
+PLACEHOLDER = r"(?i)example|changeme|your|placeholder|xxxx|dummy|sample|redacted|0000|1234567|abcdef"
 COUNTRIES = ["AD", "AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
-LABELERS, ROUNDS, STEPS, ACCEPT, BEFORE = ["strict", "gazetteer", "context", "shape"], 12, 25, 0.5, 32
+GIVEN = """
+Alan Alice Amy Andrea Andrew Angela Anna Anne Anthony Barbara Ben Brian Carl Carlos Caroline Catherine Charles Chris
+Christine Claire Daniel David Diana Edward Elena Elizabeth Emily Emma Eric Eva Frank George Hannah Hans Helen Henry
+Ines Jack James Jan Jane Jean John Jose Joseph Juan Julia Karen Karl Kate Laura Linda Louis Lucas Luis Maria Marie
+Mark Martin Mary Matthew Michael Nina Olga Oliver Pablo Paul Pedro Peter Pierre Rachel Richard Robert Rosa Sam Sarah
+Simon Sofia Stephen Susan Thomas Tom Victor Walter William
+""".split()
+NO_NAMES = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday No Who What The And But President Speaker Chairman".split()
+PRINTED = ["078-05-1120", "219-09-9999", "457-55-5462", "123-45-6789"]
+LABELERS, SURFACE = ["strict", "gazetteer", "context", "shape"], {"size": (12, 25), "mix": (0.05, 0.6)}
+ROUNDS, STEPS, ACCEPT, BEFORE = 12, 25, 0.5, 32
 
 
 def pieces(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -96,18 +112,42 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINT[kind]), some).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
+def iban_holds(m: Column) -> Column:
+    """Whether the check digits fit: the rearranged number, letters as 10 to 35, leaves 1 modulo 97."""
+    flat = F.regexp_replace(m, " ", "")
+    turned = F.split(F.concat(F.substring(flat, 5, 60), F.substring(flat, 1, 4)), "")
+
+    def add(rest: Column, c: Column) -> Column:
+        return F.when(c < ":", rest * 10 + c.cast("int")).otherwise(rest * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), add) == 1
+
+
+def step_of(value: Column, bounds: tuple[float, ...]) -> Column:
+    return sum(((value >= b).cast("int") for b in bounds), F.lit(0))
+
+
 def votes(x: Column) -> Column:
-    """kind of a candidate and one vote per labeler: 1 personal, 0 not, null for no opinion."""
+    """kind of a candidate, one vote per labeler (1 personal, 0 not, null for no opinion) and steps of its length and share of digits."""
     m, before = x["m"], x["before"]
-    kind = F.when(m.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\."), "person").when(m.rlike(rf"^(?:{EXTRA['ssn']})$"), "ssn").when(m.rlike(r"^\("), "tel").when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}$"), "iban").otherwise("secret")
-    mixed = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    strict = F.when(kind == "secret", mixed & (F.char_length(m) >= 12)).when(kind == "ssn", ~m.rlike("^(?:000|666|9)|-00-|-0000$")).when(kind == "person", m.rlike(r"\x20[A-Z][a-z]+\x20")).otherwise(True)
-    listed = F.when(kind == "iban", F.substring(m, 1, 2).isin(COUNTRIES)).when(kind == "person", F.lit(True)).when(before.rlike(GAZETTEER), F.lit(True))
+    kind = F.when(m.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\."), "person").when(m.rlike(rf"^(?:{EXTRA['ssn']})$"), "ssn").when(m.rlike(r"^\("), "tel").when(m.rlike(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[0-9]{1,3})?$"), "iban").otherwise("secret")
+    both = m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    strict = F.when(kind == "secret", both & (F.char_length(m) >= 12)).when(kind == "ssn", ~m.rlike("^(?:000|666|9)|-00-|-0000$")).when(kind == "iban", iban_holds(m)).when(kind == "tel", m.rlike(r"^\([2-9][0-9]{2}\)\x20?[2-9]"))
+    strict = F.when(kind == "person", m.rlike(r"\x20[A-Z][a-z]+\x20")).otherwise(strict)
+    word = F.get(F.split(m, " "), 1)
+    against = (
+        F.when(kind == "secret", m.rlike(PLACEHOLDER)).when(kind == "ssn", m.isin(PRINTED)).when(kind == "iban", ~F.substring(m, 1, 2).isin(COUNTRIES))
+        .when(kind == "person", word.isin(NO_NAMES)).otherwise(m.rlike(r"555[\x20-]01[0-9]{2}$"))
+    )
+    for_ = F.when(kind == "iban", F.substring(m, 1, 2).isin(COUNTRIES)).when(kind == "person", word.isin(GIVEN)).otherwise(before.rlike(KEYS))
+    listed = F.when(against, False).when(for_, True)
     context = F.when(before.rlike(CUE), F.lit(True)).when(before.rlike(ANTI), F.lit(False))
     varied = F.size(F.array_distinct(F.split(m, "")))
-    shape = F.when(kind == "secret", (varied >= 7) & ~m.rlike(r"^[a-z]+$|^[0-9.]+$|^//")).when(kind == "iban", varied >= 8)
+    shape = F.when(kind == "secret", (varied >= 7) & ~m.rlike(r"^[a-z]+$|^[0-9.]+$|^//")).when(kind == "iban", varied >= 8).when(kind == "person", m.rlike(r"\x20[A-Z][a-z]{2,}$"))
     cast = [v.cast("int").alias(k) for k, v in zip(LABELERS, (strict, listed, context, shape), strict=True)]
-    return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), *cast)
+    digits = F.char_length(F.regexp_replace(m, "[^0-9]", "")) / F.char_length(m)
+    surface = [step_of(v, SURFACE[k]).alias(k) for k, v in (("size", F.char_length(m)), ("mix", digits))]
+    return F.struct(x["s"].alias("s"), x["e"].alias("e"), kind.alias("kind"), *cast, *surface)
 
 
 def log_odds(p: Column) -> Column:
@@ -157,39 +197,45 @@ def features(x) -> list[tuple[str, Column]]:
     out = [("bias", F.lit(1.0))] + [(f"is_{k}", (x("kind") == k).cast("double")) for k in EXTRA]
     for k in LABELERS:
         out += [(f"{k}_{v}", F.coalesce((x(k) == v).cast("double"), F.lit(0.0))) for v in (0, 1)]
+    for k in SURFACE:
+        out += [(f"{k}_{v}", (x(k) == v).cast("double")) for v in range(3)]
     return out
 
 
 def span_classifier(patterns: DataFrame, steps: int = STEPS) -> dict[str, float]:
-    """Weights of a logistic model of the posteriors over patterns(kind, votes..., n).
+    """Weights of a logistic model of the posteriors over patterns(kind, votes..., size, mix, n).
 
-    There is a pattern per kind and combination of votes (405 at most), so they fit into one row, and
-    both fits are expressions over it: one job, whatever the number of rounds.
+    There is a pattern per kind and combination of votes and steps (3645 at most), so they fit into one row,
+    and both fits are expressions over it: one job, whatever the number of rounds.
     """
     made = features(F.col)
     names = [k for k, _ in made]
     v = F.array(F.lit(1.0), *(F.coalesce(F.col(k) * 2.0 - 1, F.lit(0.0)) for k in LABELERS))
-    rows = patterns.agg(F.array_sort(F.collect_list(F.struct("kind", v.alias("v"), F.col("n").cast("double").alias("n"), F.array(*(c for _, c in made)).alias("x")))).alias("rows"))
+    every = patterns.agg(F.collect_list(F.struct("kind", v.alias("v"), F.col("n").cast("double").alias("n"), F.array(*(c for _, c in made)).alias("x"))).alias("rows"))
 
-    def summed(part, size: int) -> Column:
-        return F.aggregate("rows", doubles([0.0] * size), lambda total, r: F.zip_with(total, part(r), lambda t, a: t + r["n"] * a))
+    def summed(rows: Column, part, size: int) -> Column:
+        return F.aggregate(rows, doubles([0.0] * size), lambda total, r: F.zip_with(total, part(r), lambda t, a: t + r["n"] * a))
 
-    known = summed(lambda r: F.transform(r["v"], F.abs), 1 + len(LABELERS))
-    rows = rows.select("rows", known.alias("known"), summed(lambda r: r["x"], len(names)).alias("seen"))
-    rows = rows.select("rows", "seen", F.transform(reliabilities(F.col("rows"), F.col("known")), log_odds).alias("odds"))
-    targets = F.transform("rows", lambda r: F.struct(r["n"].alias("n"), r["x"].alias("x"), logistic(dot(r["v"], F.col("odds"))).alias("target")))
-    rows = rows.select("seen", targets.alias("rows"))
+    def fit(rows: Column, seen: Column) -> Column:
+        def step(w: Column) -> Column:
+            def add(total: Column, r: Column) -> Column:
+                return let(r["n"] * (r["target"] - logistic(dot(r["x"], w))), lambda e: F.zip_with(total, r["x"], lambda t, a: t + a * e))
 
-    def step(w: Column) -> Column:
-        def add(total: Column, r: Column) -> Column:
-            return let(r["n"] * (r["target"] - logistic(dot(r["x"], w))), lambda e: F.zip_with(total, r["x"], lambda t, a: t + a * e))
+            slope = F.aggregate(rows, doubles([0.0] * len(names)), add)
+            # a quarter bounds the curvature of each indicator; several are on at once
+            move = F.zip_with(slope, seen, lambda g, n: 4 * g / (4 + len(LABELERS) + len(SURFACE)) / (0.25 + 0.25 * n))
+            return F.zip_with(w, move, lambda a, b: a + b)
+
+        return repeated(doubles([0.0] * len(names)), steps, step)
 
-        slope = F.aggregate("rows", doubles([0.0] * len(names)), add)
-        # a quarter bounds the curvature of each indicator; several are on at once
-        move = F.zip_with(slope, "seen", lambda g, n: 4 * g / (4 + len(LABELERS)) / (0.25 + 0.25 * n))
-        return F.zip_with(w, move, lambda a, b: a + b)
+    # what a loop refers to is computed before it, by let(): columns of a plan of their own would be folded into the loops
+    def learnt(rows: Column) -> Column:
+        known = summed(rows, lambda r: F.transform(r["v"], F.abs), 1 + len(LABELERS))
+        odds = let(known, lambda known: F.transform(reliabilities(rows, known), log_odds))
+        targets = let(odds, lambda odds: F.transform(rows, lambda r: F.struct(r["n"].alias("n"), r["x"].alias("x"), logistic(dot(r["v"], odds)).alias("target"))))
+        return let(targets, lambda rows: let(summed(rows, lambda r: r["x"], len(names)), lambda seen: fit(rows, seen)))
 
-    w = rows.select(repeated(doubles([0.0] * len(names)), steps, step).alias("w")).first()["w"]
+    w = every.select(let(F.array_sort("rows"), learnt).alias("w")).first()["w"]
     return dict(zip(names, w, strict=True))
 
 
@@ -202,7 +248,7 @@ def accepted(weights: dict[str, float]):
 
 
 def candidate_spans(text: Column) -> Column:
-    kind = "array<struct<s:int,e:int,kind:string," + ",".join(f"{k}:int" for k in LABELERS) + ">>"
+    kind = "array<struct<s:int,e:int,kind:string," + ",".join(f"{k}:int" for k in (*LABELERS, *SURFACE)) + ">>"
     hint = KEY + r"[\"']?[^\s\"']{8}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}|\b(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z]|\([0-9]{3}\)\x20?[0-9]{3}"
     return F.when(text.rlike(hint), F.transform(walked(*pieces(text, CANDIDATE)), votes)).otherwise(F.array().cast(kind))
 
@@ -212,7 +258,7 @@ def with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.struct(*carry).alias("own"), *(base_spans(text, k).alias(f"b_{k}") for k in BASE), candidate_spans(text).alias("more"))
     found = cut(found, "pii")
-    patterns = found.where(F.size("more") > 0).select(F.explode("more").alias("x")).select("x.kind", *(f"x.{k}" for k in LABELERS)).groupBy("kind", *LABELERS).agg(F.count("*").alias("n"))
+    patterns = found.where(F.size("more") > 0).select(F.explode("more").alias("x")).select("x.*").groupBy("kind", *LABELERS, *SURFACE).agg(F.count("*").alias("n"))
     weights = span_classifier(patterns)
 
     def named(kind: str) -> Column:
