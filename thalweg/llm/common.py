@@ -60,10 +60,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that cut() has written; everything made of them must have been written itself."""
+    """Delete tables that cut() has written; everything made of them must have been written itself.
+
+    Then the driver collects its garbage: only so Spark deletes the shuffle files of jobs that are over.
+    """
     for t in tables:
         fs, where = hadoop_path(t.sparkSession, t.written_to)
         fs.delete(where, True)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def let(value: Column, use) -> Column:

@@ -252,10 +252,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = [members.where("alike").select(span)]
     mixed_ = members.where("NOT alike").drop("alike")
     per = mixed_.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
-    mixed_ = cut(mixed_.join(cut(per, "per"), CONTEXT), "contexts")
+    per = cut(per, "per")
+    mixed_ = cut(mixed_.join(per, CONTEXT), "contexts")
     found.append(mixed_.where("n > 1").select(span))
     one = mixed_.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(CONTEXT).select(*span, "off", *CONTEXT, "n")
     todo = cut(with_bytes(one, docs, length), "items")
+    drop(per)
     for width in CELLS:
         sizes = cut(todo.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
         sized = todo.join(sizes, "key")
@@ -302,8 +304,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words[, kept_bytes]) for each row of docs(doc_id, text)."""
     small_arrow_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tid", F.hash("text"))
+    shared = shared_words(keyed, words)
     spans = repeated_windows(keyed, length).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    found = spans.join(shared_words(keyed, words), spans_of(spans), "full")
+    found = spans.join(shared, spans_of(spans), "full")
     found = found.select(F.coalesce(spans["doc_id"], F.col("of")).alias("of"), F.coalesce(spans["tid"], F.col("of_tid")).alias("of_tid"), "spans", "n_shared_words")
     rows = keyed.join(found, spans_of(keyed), "left").select("doc_id", "text", "spans", F.coalesce("n_shared_words", F.lit(0)).cast("long").alias("n_shared_words"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long" + ", kept_bytes binary" * with_text
