@@ -358,16 +358,19 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY_SQL = f"""{BM25_SQL},
-qword AS (SELECT item_id, unnest(regexp_extract_all(left(text, 60), '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM benchmark WHERE item_id < 5),
+qword AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:\\.[0-9]+)?')) AS w FROM benchmark WHERE item_id % 20 = 0),
 qsplit AS (SELECT item_id, w, list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '[_.]+', ' ', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g')), ' '), lambda p: p <> '') AS sub FROM qword),
-q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(CASE WHEN len(sub) > 1 THEN list_concat([trim(lower(w), '_')], sub) WHEN len(sub) = 0 THEN [lower(w)] ELSE sub END) AS term FROM qsplit) WHERE length(term) > 1 AND term NOT IN ({STOP_SQL})),
+q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(CASE WHEN len(sub) > 1 THEN list_concat([CASE WHEN regexp_matches(w, '^[0-9]') THEN lower(w) ELSE trim(lower(w), '_') END], sub) WHEN len(sub) = 0 THEN [lower(w)] ELSE sub END) AS term FROM qsplit) WHERE length(term) > 1 AND term NOT IN ({STOP_SQL})),
 score AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id) CROSS JOIN corpus GROUP BY 1, 2)"""
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of the searches: every benchmark row whose id is divisible by 20."""
+    return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    queries = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
-    return search.bm25(search.postings(docs), search.doc_lengths(docs), queries)
+    return search.bm25_over(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
 
 
 @named(f"WITH {QUERY_SQL} SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM score")
@@ -383,46 +386,50 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 8").select("query_id", "doc_id", F.col("k").cast("long").alias("k"))
 
 
-DENSE_SQL = "dense AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS dense FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
-def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    q = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
-    return e.select(F.col("vec_id").alias("doc_id"), search.dot(F.col("embedding"), F.array(*(F.lit(float(x)) for x in q))).alias("dense"))
-
-
-@named(f"WITH {DENSE_SQL} SELECT doc_id, round(dense, 6) AS dense FROM dense ORDER BY dense DESC, doc_id LIMIT 8")
+@named("""WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS dense FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)
+SELECT query_id, doc_id, round(dense, 6) AS dense FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS k FROM d) WHERE k <= 8""")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_scores(spark, sf_dir).orderBy(F.desc("dense"), "doc_id").limit(8).select("doc_id", F.round("dense", 6).alias("dense"))
+    v = vectors(spark, sf_dir)
+    best = search.dense_over(v, v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), 8)
+    return best.select("query_id", "doc_id", F.round("dense", 6).alias("dense"))
 
 
-FUSE_SQL = f"""{QUERY_SQL}, {DENSE_SQL},
-lex AS (SELECT doc_id, round(coalesce(bm25, 0), 9) AS bm25 FROM dense LEFT JOIN (SELECT * FROM score WHERE query_id = 0) USING (doc_id)),
-lr AS (SELECT doc_id, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS r FROM lex), dr AS (SELECT doc_id, row_number() OVER (ORDER BY round(dense, 9) DESC, doc_id) AS r FROM dense),
-fused AS (SELECT doc_id, 1.0::DOUBLE / (60 + lr.r) + 1.0::DOUBLE / (60 + dr.r) AS fused FROM lr JOIN dr USING (doc_id))"""
+FUSE_SQL = f"""{QUERY_SQL},
+dense AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS dense
+  FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 20 = 0)) q WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+lex AS (SELECT query_id, doc_id, round(coalesce(bm25, 0), 9) AS bm25, dense FROM dense LEFT JOIN score USING (query_id, doc_id)),
+fused AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, doc_id)) AS fused FROM lex)"""
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = dense_scores(spark, sf_dir)
-    lex = scored(spark, sf_dir).where("query_id = 0").select("doc_id", "bm25")
-    lexical = dense.select("doc_id").join(lex, "doc_id", "left").select("doc_id", F.round(F.coalesce("bm25", F.lit(0.0)), 9).alias("bm25"))
-    return search.fuse(lexical, dense.select("doc_id", F.round("dense", 9).alias("dense")))
+    """Each question with a vector of its own id against all documents with one."""
+    from pyspark import StorageLevel
+
+    v, asked = vectors(spark, sf_dir), questions(spark, sf_dir)
+    docs = v.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
+    own = v.withColumnRenamed("doc_id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
+    dense = search.dense_over(docs, own).withColumn("dense", F.round("dense", 9)).persist(StorageLevel.MEMORY_AND_DISK)
+    lexical = dense.select("query_id", "doc_id").join(scored(spark, sf_dir), ["query_id", "doc_id"], "left")
+    return search.fuse(lexical.select("query_id", "doc_id", F.round(F.coalesce("bm25", F.lit(0.0)), 9).alias("bm25")), dense, by=("query_id",))
 
 
-@named(f"WITH {FUSE_SQL} SELECT doc_id, round(fused, 8) AS fused FROM fused")
+@named(f"WITH {FUSE_SQL} SELECT query_id, doc_id, round(fused, 8) AS fused FROM fused")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir).select("doc_id", F.round("fused", 8).alias("fused"))
+    return fused(spark, sf_dir).select("query_id", "doc_id", F.round("fused", 8).alias("fused"))
 
 
-@named(f"""WITH {FUSE_SQL}, named AS (SELECT doc_id, source || ' part' AS name, lang || '/' || source || '.txt' AS path, fused + CASE WHEN length(source) > 3 AND contains('what is in src1 and src12', lower(source)) THEN 0.02 ELSE 0 END
-  + CASE WHEN contains('what is in src1 and src12', lower(source)) THEN 0.01 ELSE 0 END AS fused FROM fused JOIN documents USING (doc_id))
-SELECT doc_id, path, round(fused, 8) AS fused FROM named WHERE fused > 0 AND contains(path, 'en/') ORDER BY named.fused DESC, doc_id LIMIT 8""")
+@named(f"""WITH {FUSE_SQL}, named AS (SELECT query_id, doc_id, source || ' part' AS name, lang || '/' || source || '.txt' AS path, lower(benchmark.text || ' in src1 and src12') AS query, source, fused FROM fused JOIN documents USING (doc_id) JOIN benchmark ON item_id = query_id),
+boosted AS (SELECT query_id, doc_id, path, fused + CASE WHEN length(source) > 3 AND contains(query, lower(source)) THEN 0.02 ELSE 0 END + CASE WHEN contains(query, lower(source)) THEN 0.01 ELSE 0 END AS fused FROM named)
+SELECT query_id, doc_id, path, round(fused, 8) AS fused FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS k FROM boosted WHERE fused > 0 AND contains(path, 'en/')) WHERE k <= 8""")
 def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(" part")).alias("name"), F.concat("lang", F.lit("/"), "source", F.lit(".txt")).alias("path"))
-    rows = fused(spark, sf_dir).join(d, "doc_id")
-    rows = rows.withColumn("fused", F.col("fused") + search.boost(F.col("name"), F.col("path"), "What is in src1 and src12"))
-    return search.top(rows, 8, "en/").select("doc_id", "path", F.round("fused", 8).alias("fused"))
+    rows = fused(spark, sf_dir).join(d, "doc_id").join(questions(spark, sf_dir), "query_id")
+    rows = rows.withColumn("fused", F.col("fused") + search.boost(F.col("name"), F.col("path"), F.concat("query", F.lit(" in src1 and src12"))))
+    return search.top(rows, 8, "en/", by=("query_id",)).select("query_id", "doc_id", "path", F.round("fused", 8).alias("fused"))
 
 
 @named("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '((?:api[_-]?key|token|secret|password|passwd)\\s*[=:]\\s*)''[^''"\\s]{6,}''', '\\1''<REDACTED>''', 'gi'),
@@ -448,8 +455,7 @@ def merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of the best 24 of all chunks, for each benchmark row whose id is divisible by 20."""
     chunks = chunk_rows(spark, sf_dir).select("repo", "path", "kind", "name", F.col("meta.cell").alias("cell"), "text", "start_line", "end_line")
     chunks = chunks.withColumn("doc_id", F.xxhash64("path", "name", "cell", "start_line", "end_line"))
-    queries = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scores = search.bm25(search.postings(chunks), search.doc_lengths(chunks), queries)
+    scores = search.bm25_over(chunks, questions(spark, sf_dir))
     best = search.top(scores.select("query_id", "doc_id", F.round("bm25", 9).alias("fused")), 24, by=("query_id",))
     return search.excerpts(chunks.join(best, "doc_id"), 8, by=("query_id",)).select("query_id", "group_no", "path", "name", "start_line", "end_line", "pieces", "text")
 
