@@ -22,11 +22,16 @@ def class_counts(rows: DataFrame, column: str = "label") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def unknown(rows: DataFrame, classes: list) -> DataFrame:
+    """True classes that the model doesn't have."""
+    return rows.where(~F.col("truth").isin(classes)).select("truth").distinct()
+
+
 def confusion(rows: DataFrame, classes: list) -> DataFrame:
     """rows(truth, predicted) → a row per pair of classes, zeros included, and its share of the true class."""
-    unknown = rows.where(~F.col("truth").isin(classes)).select("truth").distinct().limit(20).collect()
-    if unknown:
-        raise ValueError(f"classes the model doesn't have: {sorted(str(r.truth) for r in unknown)}")
+    strange = unknown(rows, classes).limit(20).collect()
+    if strange:
+        raise ValueError(f"classes the model doesn't have: {sorted(str(r.truth) for r in strange)}")
     spark = rows.sparkSession
     # the classes of a model are a short list
     every = spark.createDataFrame([(a, b) for a in classes for b in classes], f"truth {rows.schema['truth'].dataType.simpleString()}, predicted {rows.schema['predicted'].dataType.simpleString()}")

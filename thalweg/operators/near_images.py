@@ -27,6 +27,15 @@ def near_pairs(hashes: DataFrame, max_distance: int = 4, bits: int = 64) -> Data
     return a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("a.split").alias("split_a"), F.col("b.id").alias("id_b"), F.col("b.split").alias("split_b"), F.bit_count(diff).alias("distance"))
 
 
+def by_distance(pairs: DataFrame) -> DataFrame:
+    """pairs with place, 1 for the nearest; ties by the two ids."""
+    from .search import ranked
+
+    keyed = pairs.withColumn("nearness", -F.col("distance").cast("double"))
+    order = F.struct("id_a", "id_b")
+    return ranked(keyed.withColumn("tie", order), "nearness", "tie", "place").drop("nearness", "tie")
+
+
 def involved(pairs: DataFrame) -> DataFrame:
     """Images of each split that are in some pair."""
     sides = pairs.select(F.col("split_a").alias("split"), F.col("id_a").alias("id")).union(pairs.select("split_b", "id_b"))

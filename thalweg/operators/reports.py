@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import position_error_m
+
 
 def status_counts(frames: DataFrame) -> DataFrame:
     return frames.groupBy("status").agg(F.count("*").alias("n"))
@@ -54,6 +56,35 @@ def best_row(rows: DataFrame, score: str, tie: str, by: list[str] | None = None)
     return out.select(*(by or []), "r.*")
 
 
+def best_views(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group the augmentation with the best macro F1; hflip first among equals, then the last by name."""
+    rest = [c for c in runs.columns if c not in by]
+    best = F.max_by(F.struct(*rest), F.struct("macro_f1", F.col("tta") == "hflip", "tta")).alias("r")
+    return runs.groupBy(*by).agg(best).select(*by, "r.*")
+
+
+def verified(frames: DataFrame, tags: DataFrame, key: str) -> DataFrame:
+    """frames(key, latitude, longitude) against tags(key, lat, lon) read back from files: has_gps and max_error_m."""
+    both = frames.join(tags.select(key, F.col("lat").alias("tag_lat"), F.col("lon").alias("tag_lon")), key, "left")
+    has = F.col("tag_lat").isNotNull() & F.col("tag_lon").isNotNull()
+    error = position_error_m(F.col("latitude"), F.col("longitude"), F.col("tag_lat"), F.col("tag_lon"))
+    return both.withColumn("has_gps", has).withColumn("max_error_m", F.when(has, error))
+
+
+def merge_features(features: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """features(feature: GeoJSON text) with the columns of rows as further properties, joined on the property key.
+
+    Features without a row stay as they are; of several rows with one key the last by its columns counts.
+    """
+    added = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max(F.struct(*added)).alias("more"))
+    text = F.to_json("more", {"ignoreNullFields": "false"})
+    joined = features.withColumn(key, F.get_json_object("feature", f"$.properties.{key}")).join(last, key, "left")
+    # properties are the last member of a feature: its object goes on before the closing braces
+    grown = F.concat(F.regexp_replace("feature", r"\}\s*\}\s*$", ","), F.substring(text, 2, 1 << 30), F.lit("}"))
+    return joined.select(F.when(F.col("more").isNotNull(), grown).otherwise(F.col("feature")).alias("feature"))
+
+
 def geojson_features(frames: DataFrame) -> DataFrame:
     """A GeoJSON feature (as text) for each ok frame; properties are all but position and path."""
     props = [c for c in frames.columns if c not in ("latitude", "longitude", "path")]

@@ -37,5 +37,16 @@ def summary(track: DataFrame) -> DataFrame:
     )
 
 
+def timed(points: DataFrame) -> DataFrame:
+    """Points with a time; a depth that is no number is missing."""
+    return points.where("t IS NOT NULL").withColumn("depth", F.nanvl("depth", F.lit(None).cast("double")))
+
+
+def local_range(track: DataFrame, tz: str) -> DataFrame:
+    """Per track the first and last time on the clocks of tz."""
+    ends = track.groupBy("track_id").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    return ends.select("track_id", *(F.from_utc_timestamp(F.timestamp_micros(c), tz).cast("timestamp_ntz").alias(n) for c, n in (("a", "first_local"), ("b", "last_local"))))
+
+
 def bounds(track: DataFrame) -> DataFrame:
     return track.groupBy("track_id").agg(F.min("t").alias("g0"), F.max("t").alias("g1"), F.count_distinct("t").alias("n"))

@@ -498,3 +498,6 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = asof_interpolate(spark, sf_dir).withColumn("path", F.lit(""))
     return reports.geojson_features(rows)
+
+
+from . import catalogue_rows  # noqa: E402, F401  its queries join those above

@@ -47,6 +47,11 @@ def classify_images(images: DataFrame, class_names: list[str], root: str, conf:
     )
 
 
+def image_totals(rows: DataFrame) -> DataFrame:
+    """One row: images, and how many have a position."""
+    return rows.agg(F.count("*").alias("images"), F.count("latitude").alias("with_gps"))
+
+
 def evaluate(rows: DataFrame, class_names: list[str]) -> dict[str, DataFrame]:
     """confusion, per_class, overall and misclassified of rows(image, truth, predicted[, conf])."""
     matrix = classes.confusion(rows, class_names)

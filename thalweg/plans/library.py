@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from ..operators import reports, search
 from ..sources.chunks import chunk_files
 
 
+def union_files(parts: list[DataFrame]) -> DataFrame:
+    """The files of several repositories as one table."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 class Library:
     """Chunks with their postings and lengths; vectors are optional. All tables are saved, none is rebuilt on load."""
 

@@ -40,9 +40,7 @@ def process(
 
     Recordings without a start time are an error, raised before anything is written.
     """
-    recs = start_micros(recordings.group_chapters(files), tz)
-    if only:
-        recs = recs.where(F.col("recording").isin(only))
+    recs = only_recordings(start_micros(recordings.group_chapters(files), tz), only)
     unset = [r.recording for r in recs.where("start_local IS NULL").select("recording").limit(20).collect()]
     if unset:
         raise ValueError(f"recordings without a start time: {', '.join(unset)}")
@@ -64,6 +62,11 @@ def process(
     return out.withColumn("path", F.when(folder != "", F.concat(folder, F.lit("/"), "frame_filename")).otherwise(""))
 
 
+def only_recordings(recs: DataFrame, only: list[str] | None) -> DataFrame:
+    """The recordings named, all without names."""
+    return recs.where(F.col("recording").isin(only)) if only else recs
+
+
 def check_output(inputs: str, output: str) -> None:
     """The output must not be the input folder or inside it."""
     a, b = inputs.rstrip("/") + "/", output.rstrip("/") + "/"
