@@ -310,3 +310,14 @@ def link(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFra
     out = good.union(rows.where(~sound).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
     # rows with one vec_id are one node
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+LINK_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+sound AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON r.id = p.a WHERE r.root < p.b),
+groups AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN groups ON id = vec_id LEFT JOIN degree ON a = vec_id
+"""

@@ -296,3 +296,17 @@ def drop_near_dups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     once = docs.join(sent(gone), "doc_id", "left_anti").select(docs.columns)
     firsts = docs.join(sent(twice.where("kept").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return once.union(firsts)
+
+
+# rows that repeat a doc_id with other texts aside, which SQL doesn't choose among
+NEAR_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE len(w) WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM words),
+rows AS (SELECT doc_id, unnest(s) AS x FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT met.a, met.b FROM met JOIN sets p ON p.doc_id = met.a JOIN sets q ON q.doc_id = met.b WHERE 100 * met.n >= 80 * (len(p.s) + len(q.s) - met.n)),
+edges AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM sets UNION SELECT e.b, r.root FROM reach r JOIN edges e ON r.id = e.a WHERE r.root < e.b),
+groups AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN groups ON id = doc_id
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .cover_tree import LINK_SQL
 from .mixing import MIX_SQL
+from .near_dups import NEAR_SQL
 from .warc import WARC_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +44,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+ORACLE_SQL["op2_cover_tree_near_dups"] = LINK_SQL
+ORACLE_SQL["op4_minhash_near_dups"] = NEAR_SQL
 ORACLE_SQL["op6_warc_revisits"] = WARC_SQL
 ORACLE_SQL["op7_source_mixing"] = MIX_SQL
 
