@@ -19,22 +19,28 @@ def merge(tracks: list[DataFrame], by: str | None = None) -> DataFrame:
     return first.select(*keys, *(F.col(f"p.{c}").alias(c) for c in rest))
 
 
-def segments(track: DataFrame) -> DataFrame:
-    """Consecutive points a, b of each track_id with times in microseconds t; last: whether b is the end."""
-    w = Window.partitionBy("track_id").orderBy("t")
-    rows = track.groupBy("track_id", "t").agg(F.min(F.struct("lat", "lon", "depth")).alias("p"))
-    rows = rows.withColumn("tb", F.lead("t").over(w)).withColumn("q", F.lead("p").over(w)).withColumn("tc", F.lead("t", 2).over(w))
-    rows = rows.where("tb IS NOT NULL")
-    return rows.select("track_id", F.col("t").alias("ta"), "tb", F.col("p").alias("a"), F.col("q").alias("b"), F.col("tc").isNull().alias("last"))
+def segments(track: DataFrame, width_s: float = 3600.0) -> DataFrame:
+    """Consecutive points a, b of each track_id with times in microseconds t; last: whether b is the end.
+
+    Points are put in order within spans of width_s, and the last point of a span is carried over to the first
+    of the next span that has one; so only the spans' first points, not the points, are ordered by whole tracks.
+    """
+    width, place = max(1, round(width_s * 1_000_000)), [c for c in ("lat", "lon", "depth") if c in track.columns]
+    rows = track.groupBy("track_id", "t", F.floor(F.col("t") / width).alias("span")).agg(F.min(F.struct(*place)).alias("p"))
+    heads = rows.groupBy("track_id", "span").agg(F.min(F.struct("t", "p")).alias("head"), F.max("t").alias("final"))
+    by_span = Window.partitionBy("track_id").orderBy("span")
+    final = F.max("final").over(by_span.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("track_id", "span", F.lead("head").over(by_span).alias("next"), final.alias("final"))
+    inside = Window.partitionBy("track_id", "span").orderBy("t")
+    rows = rows.withColumn("after", F.lead(F.struct("t", "p")).over(inside)).join(heads, ["track_id", "span"]).withColumn("b", F.coalesce("after", "next"))
+    return rows.where("b IS NOT NULL").select("track_id", F.col("t").alias("ta"), F.col("b.t").alias("tb"), F.col("p").alias("a"), F.col("b.p").alias("b"), (F.col("b.t") == F.col("final")).alias("last"))
 
 
 def summary(track: DataFrame) -> DataFrame:
     """Per track: points, points with depth, first and last time, median interval in seconds (null below two points)."""
-    w = Window.partitionBy("track_id").orderBy("t")
-    gaps = track.withColumn("gap", (F.col("t") - F.lag("t").over(w)) / 1_000_000)
-    return gaps.groupBy("track_id").agg(
-        F.count("*").alias("points"), F.count("depth").alias("points_with_depth"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.percentile("gap", F.lit(0.5)).alias("median_interval_s")
-    )
+    told = track.groupBy("track_id").agg(F.count("*").alias("points"), F.count("depth").alias("points_with_depth"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    gaps = segments(track).groupBy("track_id").agg(F.percentile((F.col("tb") - F.col("ta")) / 1_000_000, F.lit(0.5)).alias("median_interval_s"))
+    return told.join(gaps, "track_id", "left")
 
 
 def timed(points: DataFrame) -> DataFrame:
