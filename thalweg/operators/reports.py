@@ -20,7 +20,7 @@ def systematic_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
     from .search import ranked
 
     total = rows.count()
-    at = ranked(rows.withColumn("at", -F.col(order).cast("double")), "at", order, "position").drop("at")
+    at = ranked(rows.withColumn("back", -F.col(order).cast("double")), "back", order, "position").drop("back")
     step = max(1, total // n)
     return at.where(((F.col("position") - 1) % step == 0) & (F.col("position") <= step * n)).drop("position")
 
