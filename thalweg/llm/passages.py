@@ -2,10 +2,10 @@
 
 Like repeats.py, with words for bytes and counts for removal. Of the GRAM-word grams inside each window of
 `words` words the one with the smallest hash is the window's anchor; windows that follow each other with one
-anchor are a run. Anchors that one row alone has can't belong to a shared passage. Where all runs of an anchor
-are the same words, all their windows are shared. Of the rest the windows themselves are hashed, to 128 bits,
-and those in more than one row are shared; shared windows together cover a row's shared words. Words are runs
-without white space, compared as they are, by 64-bit hashes.
+anchor are a run. Anchors that one row alone has can't belong to a shared passage, and runs of the same words in
+several rows are shared as a whole. The windows of the other runs, and of one of each group of equal ones, are
+hashed, to 128 bits, and those in more than one row are shared; shared windows together cover a row's shared
+words. Words are runs without white space, compared as they are, by 64-bit hashes.
 
 Rows are told apart by doc_id and a hash of the text; repeated rows share all their passages. Null and empty
 texts and those with fewer words share nothing. A window that repeats inside one row only isn't shared.
@@ -78,18 +78,24 @@ def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
     every = cut(docs.select("doc_id", "tid", "text").mapInArrow(anchors, "doc_id long, tid int, key long, ctx long"), "passage_anchors")
     often = every.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("n > 1")
     often = cut(often.select("key", F.expr("least = most").alias("alike")), "passage_keys")
-    wanted = every.join(often, "key").groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid"))
-    wanted = cut(wanted.agg(*(F.collect_set(F.when(c, F.col("key"))).alias(k) for k, c in (("same", F.col("alike")), ("mixed", ~F.col("alike"))))), "passage_wanted")
+    members = cut(every.join(often, "key"), "passage_members")
     drop(every, often)
+    apart, me = members.where("NOT alike"), F.struct("doc_id", "tid")
+    groups = cut(apart.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(me).alias("rep")), "passage_runs")
+    apart = apart.join(groups, ["key", "ctx"]).select("doc_id", "tid", "ctx", (F.col("n") > 1).alias("whole"), ((F.col("n") == 1) | me.eqNullSafe(F.col("rep"))).alias("open"))
+    wanted = apart.union(members.where("alike").select("doc_id", "tid", "ctx", F.lit(True), F.lit(False)))
+    wanted = wanted.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(*(F.collect_set(F.when(F.col(k), F.col("ctx"))).alias(k) for k in ("whole", "open")))
+    wanted = cut(wanted, "passage_wanted")
+    drop(members, groups)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, found = [], []
-            for k, (text, same, mixed_) in enumerate(zip(*b.columns[2:], strict=True)):
+            for k, (text, *asked) in enumerate(zip(*b.columns[2:], strict=True)):
                 codes, anchor = anchored(text.as_py(), words)
-                lo, hi, _ = runs(codes, anchor, words)
-                whole = np.isin(anchor[lo].view(np.int64), np.array(same.as_py(), np.int64))
-                at = np.flatnonzero(np.isin(anchor.view(np.int64), np.array(mixed_.as_py(), np.int64)))
+                lo, hi, ctx = runs(codes, anchor, words)
+                whole, open_ = (np.isin(ctx.view(np.int64), np.array(x.as_py(), np.int64)) for x in asked)
+                at = np.flatnonzero(np.repeat(open_, hi - lo + 1))
                 one, two = (grams(codes, words, salt)[at].view(np.int64) for salt in (2, 3))
                 first = np.zeros(len(at), np.int8)
                 first[np.unique(one, return_index=True)[1]] = 1
@@ -102,7 +108,7 @@ def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
             take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *map(pa.array, cols)], ["of", "of_tid", "at", "to", "h", "h2", "first"])
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("of")) & (docs["tid"] == F.col("of_tid"))).select("of", "of_tid", "text", "same", "mixed")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("of")) & (docs["tid"] == F.col("of_tid"))).select("of", "of_tid", "text", "whole", "open")
     seen = cut(texts.mapInArrow(windows, "of long, of_tid int, at int, to int, h long, h2 long, first byte"), "passage_windows")
     apart = seen.where("first < 2")
     shared = cut(apart.groupBy("h", "h2").agg(F.sum("first").alias("rows")).where("rows > 1").select("h", "h2"), "passages")
