@@ -105,3 +105,17 @@ def test_values_of_other_lengths(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.contaminated(df, items).collect()} == {(1, 1), (2, 1), (4, 2)}
     assert [r.doc_id for r in D.drop_contaminated(df, items).collect()] == [5]  # 3 has a long literal part
+
+
+def test_repeated_ids_and_long_texts(spark):
+    """Rows with one id and different texts are compared by themselves; repeated rows change nothing."""
+    question = "Anna buys 3 kg of red apples and then Anna sells 2 kg of them to Boris before noon"
+    other = "the wide river runs from the old hills down to the grey sea and never once turns back"
+    items = spark.createDataFrame([(1, question), (1, other), (1, other), (None, other)], "item_id long, text string")
+    rng = random.Random(6)
+    long = " ".join(rng.choices("one two three four five six seven".split(), k=150_000))
+    docs = [(1, question.replace("3", "7")), (1, other), (1, "nothing of the kind at all in this one"), (2, long + " " + other), (3, long), (None, other), (4, other)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [sorted(tuple(r) for r in D.contaminated(x, items, D.ALL).collect()) for x in (df, df.union(df), df.orderBy("text"))]
+    assert {r[:2] for r in got[0]} == {(1, 1), (2, 1), (4, 1)} and got[0] == got[1] == got[2]
+    assert sorted((r.doc_id or 0, len(r.text)) for r in D.drop_contaminated(df, items).collect()) == [(0, len(other)), (3, len(long))]

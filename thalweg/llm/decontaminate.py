@@ -23,8 +23,10 @@ follow each value's most frequent counterpart. So re-parameterised questions are
 that only has the shape of one is not.
 
 Null and empty texts match nothing, nor do items with fewer than WINDOW tokens. Items with the same
-text all match. Repeated document rows are reported once. Rows with a null id match nothing. Empty
-tables give an empty result. Extra columns are ignored.
+text all match. Rows that repeat an id with another text, of documents or of items, are compared by
+themselves and reported once for each pair of ids, by the best match; drop_contaminated() drops an id if any
+of its texts holds an item. Rows with a null id match nothing. Empty tables give an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,27 +146,28 @@ def window_hashes(raw: Column, families: tuple[str, ...]) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, families: tuple[str, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, item_id, n_windows, share, n_slots, slot_agreement) for each document that holds an item."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().withColumn("iid", F.xxhash64("text"))
     items = items.withColumn("raw", raw_tokens(F.col("text")))
-    items = cut(reduce(DataFrame.union, (items.select("item_id", F.lit(f).alias("family"), "raw", slot_values(F.col("raw"), F.lit(f)).alias("mine"), family_tokens(F.col("raw"), f).alias("tokens")) for f in families)), "items")
-    spread = reduce(DataFrame.union, (items.where(F.col("family") == f).select("item_id", "family", "tokens", F.posexplode(F.get(window_hashes(F.col("raw"), (f,)), 0)).alias("ipos", "h")) for f in families))
+    items = cut(reduce(DataFrame.union, (items.select("item_id", "iid", F.lit(f).alias("family"), "raw", slot_values(F.col("raw"), F.lit(f)).alias("mine"), family_tokens(F.col("raw"), f).alias("tokens")) for f in families)), "items")
+    spread = reduce(DataFrame.union, (items.where(F.col("family") == f).select("item_id", "iid", "family", "tokens", F.posexplode(F.get(window_hashes(F.col("raw"), (f,)), 0)).alias("ipos", "h")) for f in families))
     plain = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUM, NAME, UNIT)))
-    windows = cut(spread.where((plain >= LITERALS) | (F.col("family") == "literal")).select("item_id", "family", "ipos", "h"), "windows")
-    totals = windows.groupBy("item_id", "family").agg(F.count("*").alias("total"))
-    side = windows.join(F.broadcast(totals) if windows.count() <= BROADCAST else totals, ["item_id", "family"])
+    windows = cut(spread.where((plain >= LITERALS) | (F.col("family") == "literal")).select("item_id", "iid", "family", "ipos", "h"), "windows")
+    totals = windows.groupBy("item_id", "iid", "family").agg(F.count("*").alias("total"))
+    side = windows.join(F.broadcast(totals) if windows.count() <= BROADCAST else totals, ["item_id", "iid", "family"])
     if windows.count() <= BROADCAST:
         side = F.broadcast(side)
 
-    placed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.explode(let(raw_tokens(F.col("text")), lambda raw: window_hashes(raw, families))).alias("h"))
-    placed = placed.select("doc_id", F.posexplode("h").alias("dpos", "h"))
-    hits = placed.join(side, "h").select("doc_id", "item_id", "family", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "total").distinct()
-    by = ["doc_id", "item_id", "family", "shift"]
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    placed = docs.select("doc_id", "tid", F.explode(let(raw_tokens(F.col("text")), lambda raw: window_hashes(raw, families))).alias("h"))
+    placed = placed.select("doc_id", "tid", F.posexplode("h").alias("dpos", "h"))
+    hits = placed.join(side, "h").select("doc_id", "tid", "item_id", "iid", "family", (F.col("dpos") - F.col("ipos")).alias("shift"), "ipos", "total").distinct()
+    by = ["doc_id", "tid", "item_id", "iid", "family", "shift"]
     aligned = hits.groupBy(*by).agg(F.count("*").alias("n"), F.first("total").alias("total"), F.collect_set("ipos").alias("at"))
     aligned = cut(aligned.where(F.col("n") >= F.least(F.lit(RUN), F.ceil(F.col("total") * SHARE))), "aligned")
 
-    texts = docs.select("doc_id", "text").join(sent(cut(aligned.select("doc_id").distinct(), "aligned_ids")), "doc_id", "left_semi")
-    both = aligned.join(texts.select("doc_id", raw_tokens(F.col("text")).alias("theirs")), "doc_id").withColumn("theirs", slot_values(F.col("theirs"), F.col("family")))
-    both = both.join(items.select("item_id", "family", "tokens", "mine"), ["item_id", "family"])
+    texts = docs.join(sent(cut(aligned.select("doc_id", "tid").distinct(), "aligned_ids")), ["doc_id", "tid"], "left_semi").dropDuplicates(["doc_id", "tid"])
+    both = aligned.join(texts.select("doc_id", "tid", raw_tokens(F.col("text")).alias("theirs")), ["doc_id", "tid"]).withColumn("theirs", slot_values(F.col("theirs"), F.col("family")))
+    both = both.join(items.select("item_id", "iid", "family", "tokens", "mine"), ["item_id", "iid", "family"])
     covered = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.exists("at", lambda p: (p <= i) & (i < p + WINDOW)))
     slot = F.transform(
         F.filter(covered, lambda i: F.get("tokens", i).isin(NUM, NAME, UNIT)),
