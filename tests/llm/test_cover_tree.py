@@ -40,3 +40,22 @@ def test_matches_brute_force(spark, dim, block):
 
 def test_empty(spark):
     assert link(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    """A repeated vec_id has a row and links for each vector, and one component; clashing columns are ignored."""
+    a, b, c, d = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.05]
+    rows = [(5, a), (5, c), (3, b), (9, d), (9, d), (None, a), (7, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, e, 1, "x") for i, e in rows], "vec_id long, embedding array<float>, n_links int, rep string")
+    got = sorted((tuple(r) for r in link(df).collect()), key=str)
+    want = [(5, 1, 3, False), (5, 2, 3, False), (3, 1, 3, True), (9, 2, 3, False), (9, 2, 3, False), (None, 0, None, True), (7, 0, 7, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_long_vectors_and_many_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 1500))
+    every = [*x, *([x[3]] * 400), x[4] + 0.1 * rng.normal(size=1500)]
+    rows = [(1000 - i, [float(np.float32(v)) for v in e]) for i, e in enumerate(every)]
+    got = sorted(tuple(r) for r in link(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16).collect())
+    assert got == brute(rows)

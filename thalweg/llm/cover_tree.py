@@ -15,7 +15,8 @@ On unit vectors cosine c is distance sqrt(2 - 2c), so the pairs wanted are those
 
 Vectors without direction (null, empty, zero, or with null or non-finite components) link with
 nothing. Vectors of different dimensions never link. Rows that repeat a vec_id count as vectors of
-their own and share a component. Empty tables give an empty result. Extra columns are ignored.
+their own, each with its links, and share a component; rows with a null vec_id link with nothing. Empty
+tables give an empty result. Extra columns are ignored.
 
 In high dimensions, where most points are nearly orthogonal, bounds exclude little above single
 points and the work stays quadratic in distinct vectors, though as dense matrix products; the README
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, looked_up, sent
 
 BLOCK, SAMPLE, PIVOTS, LEVELS, SKIP, MARGIN = 4096, 2048, 32, 7, 0.6, 2e-5
 POINT = "rep long, w long, vec binary, block long, at int, path array<int>"
@@ -237,10 +238,12 @@ def link(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFra
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    points = cut(rows.where(sound).groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")).withColumn("dim", F.size("e")), "points")
+    points = rows.where(sound).groupBy("e").agg(F.min("vec_id").alias("least"), F.count("*").alias("w")).withColumn("dim", F.size("e"))
+    # numbers that are written once are the same for every reader
+    points = cut(points.withColumn("rep", F.monotonically_increasing_id()), "points")
     n_points = points.count()
 
-    sample = points.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("dim", "e").collect()
+    sample = points.orderBy(F.xxhash64("e"), "e").limit(SAMPLE).select("dim", "e").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r.dim, []).append(r.e)
@@ -303,12 +306,18 @@ def link(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFra
 
     seen = cut(trees.join(met, "block").groupBy("b1", "b2").applyInPandas(traverse, "rep long, links long, root long"), "seen")
     links = seen.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(seen.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_point = points.select("e", "rep", "w").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    per_point = per_point.select("e", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    edges = seen.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    again = cut(rows.where(sound).groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "again")
+    if again.limit(1).count():
+        held = cut(rows.where(sound).join(sent(again), "vec_id", "left_semi").distinct().join(points.select("e", "rep"), "e").select("vec_id", "rep"), "held")
+        edges = edges.union(held.join(cut(held.groupBy("vec_id").agg(F.min("rep").alias("first")), "firsts"), "vec_id").select("rep", "first"))
+    groups = components(edges)
+    per_point = points.select("e", "rep", "w", "least").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    per_point = cut(per_point.select("e", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "least", F.coalesce("component_id", "rep").alias("group")), "per_point")
+    named = per_point.groupBy("group").agg(F.min("least").alias("component_id"))
+    per_point = cut(looked_up(per_point, "group", named, "component_id").select("e", "n_links", "component_id"), "per_point")
     good = rows.where(sound).join(per_point, "e").select("vec_id", "n_links", "component_id")
     out = good.union(rows.where(~sound).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
-    # rows with one vec_id are one node
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
