@@ -1,4 +1,6 @@
+import json
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -30,3 +32,22 @@ def test_edges(spark, merger):
     n = merger.count("hello world")
     assert got == [(1, 0, 0, False), (2, 0, 0, False), (3, 11, n, n > 1), (3, 11, n, n > 1)]
     assert count_tokens(df.limit(0), PATH).collect() == []
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    changes = [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), ("model", spec["model"] | {"byte_fallback": True})]
+    changes.append(("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}]))
+    for key, value in changes:
+        (tmp_path / "x.json").write_text(json.dumps(spec | {key: value}), encoding="utf-8")
+        with pytest.raises(ValueError, match=key):
+            HeapMerger(str(tmp_path / "x.json"))
+
+
+def test_long_texts(spark, merger):
+    """Very long words and texts are counted whole, as the library counts them."""
+    lib = Tokenizer.from_file(PATH)
+    texts = ["ab" * 40_000, "the " * 100_000, "\n" * 30_000, "é中" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.n_bytes, r.n_tokens) for r in count_tokens(df, PATH).orderBy("doc_id").collect()]
+    assert got == [(len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for t in texts]

@@ -4,6 +4,9 @@ A text is cut into pre-tokens; each becomes a doubly linked list of byte symbols
 adjacent pairs by merge rank, and the lowest is merged until none is left. The count is the initial
 symbols minus the merges. Pre-tokens repeat a lot, so each worker remembers counts in a bounded cache.
 
+Files that ask for what isn't built (a normalizer, another pre-tokenizer or split, dropout, byte fallback, added
+tokens that take neighbouring space or whole words only) are an error and not miscounted.
+
 Null and empty texts count 0. The vocabulary's special strings inside a text count one token each, as
 the library does by default. Rows are independent: repeated rows and extra columns change nothing.
 """
@@ -34,10 +37,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for beyond byte-level BPE with the usual split."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    wanted = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    odd = [f"pre_tokenizer.{k}" for k, v in wanted.items() if pre.get(k, True if k == "use_regex" else None) != v]
+    odd += ["normalizer"] * bool(spec.get("normalizer")) + ["model.type"] * (model.get("type", "BPE") != "BPE")
+    odd += [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    return odd + [f"added_tokens.{k}" for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+
+
 class HeapMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if odd := unsupported(spec):
+            raise ValueError(f"{path}: {', '.join(odd)} not supported")
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.symbols = [vocab.get(c, -1 - i) for i, c in enumerate(byte_alphabet())]
