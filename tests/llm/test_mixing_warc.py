@@ -47,6 +47,19 @@ def test_mix_empty_and_repeats(spark):
     assert len(got) == 3 and sum(r.taken for r in got) == 4
 
 
+def test_mix_null_and_tied_ids(spark):
+    """Null and repeated doc_ids and equal sizes: budgets are met, reruns and partitions agree, ranges stay small."""
+    rows = [(None if i % 2 else 7, " ".join([f"w{i}"] * 4), "hot" if i % 3 else "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, mix(x).collect()), key=str) for x in (df, df.repartition(9), df.orderBy("text"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 900
+    taken, target = defaultdict(int), {}
+    for _, source, _, _, t, n in got[0]:
+        taken[source] += n
+        target[source] = t
+    assert {s: math.floor(t) for s, t in target.items()} == dict(taken)
+
+
 def test_warc_round_trip(spark):
     big, tricky = "é" * 600, "x" * 1000 + "\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 3\r\n\r\n"
     rows = [(1, "u", None), (2, "u", ""), (3, None, big), (9, "http://a\r\nX: y", big), (5, "u", big), (6, "u", tricky), (7, "u", tricky), (8, "u", "short"), (10, "u", "short"), (11, "u", "y" * 200000), (12, "u", "z" * 999), (13, "u", "z" * 999)]

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash order, distributed prefix sums and exact cuts.
 
-Every document gets a hash-random key. Within a source the keys are cut into ranges of about RANGE
+Every document gets a hash-random key, of its doc_id and text, so that null and repeated doc_ids spread. Within a source the keys are cut into ranges of about RANGE
 documents; sums of ranges, of groups of ranges, and of sources are prefix-summed one level at a time,
 so no window ever holds more than about RANGE documents or FAN ranges, whatever a source's share. A
 source takes whole epochs of its documents first and then, in key order, words up to its exact budget
@@ -51,7 +51,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of docs(doc_id, text, source)."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")), "sizes")
     sources = cut(source_targets(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), weights, cap), "sources")
     s = sources.select(F.col("source").alias("of"), "src", "source_size", "target", F.ceil(F.col("n_docs") / RANGE).alias("ranges"))
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
 
 MIX_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS src FROM per),
