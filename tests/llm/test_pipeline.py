@@ -52,3 +52,20 @@ def test_stages(spark, tmp_path):
     ran = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert ran == {i: r.taken for i, r in kept["mixing"].items()}
     assert Path(tmp_path).exists()
+
+
+def test_odd_tables(spark, tmp_path):
+    """Extra columns with clashing names, null ids, texts and labels, and empty tables."""
+    text = "some plain words that say nothing of note to anyone at all"
+    docs = [(1, text, "en", "a", 9, "x"), (1, text, "en", "a", 9, "y"), (2, None, None, None, None, None), (None, "one two", "en", "b", 7, "z")]
+    schema = SCHEMA + ", keep string"
+    labels = spark.createDataFrame([(1, None, None), (None, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(None, text), (3, None)], "item_id long, text string")
+    for name, rows in (("some", docs), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        (labels if rows else labels.limit(0)).write.parquet(f"{d}/labels.parquet")
+        (items if rows else items.limit(0)).write.parquet(f"{d}/benchmark.parquet")
+    got = sorted(((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()), key=str)
+    assert sum(n for _, n in got) == 14 and {i for i, _ in got} == {1, None}  # 12 words once, 2 of the null id
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
