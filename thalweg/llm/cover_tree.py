@@ -3,7 +3,8 @@
 On unit vectors cosine c is distance sqrt(2 - 2c), so the pairs wanted are those within a radius.
 
 1. Equal vectors become one point with a weight. Points go to the nearest of a few pivots (farthest
-   first over a bounded sample), and each cell is cut into blocks of about BLOCK points.
+   first over a bounded sample), and each cell is cut into blocks. A point is sent once for each block, so blocks
+   are as large as keeps all cores busy, from BLOCK points up to BLOCK_BYTES of vectors.
 2. Each block gets a cover tree: nested levels with halving radii, each point within its level's
    radius of its centre, centres of a level further apart than that within their parent.
 3. Pairs of blocks are traversed together, level by level. A pair of nodes is dropped when the centres
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, looked_up, sent
 
-BLOCK, SAMPLE, PIVOTS, LEVELS, SKIP, MARGIN = 4096, 2048, 32, 7, 0.6, 2e-5
+BLOCK, BLOCK_BYTES, SAMPLE, PIVOTS, LEVELS, SKIP, MARGIN = 4096, 32 << 20, 2048, 32, 7, 0.6, 2e-5
 POINT = "rep long, w long, vec binary, block long, at int, path array<int>"
 
 
@@ -232,7 +233,7 @@ def roots(n: int, edges: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFrame:
+def link(vectors: DataFrame, cosine: float = 0.9, block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
@@ -247,6 +248,10 @@ def link(vectors: DataFrame, cosine: float = 0.9, block: int = BLOCK) -> DataFra
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r.dim, []).append(r.e)
+    if block is None:
+        # pairs of blocks are tasks: some twice as many as cores
+        side = 2 * max(1, spark.sparkContext.defaultParallelism) ** 0.5
+        block = max(BLOCK, min(int(n_points / side) + 1, BLOCK_BYTES // (8 * max(by_dim, default=1))))
     cells = {d: pivots(unit(v), max(1, min(PIVOTS, n_points // block))) for d, v in by_dim.items()}
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
