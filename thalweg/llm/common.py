@@ -59,15 +59,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return back
 
 
-def drop(*tables: DataFrame) -> None:
+def drop(*tables: DataFrame, shuffles: bool = False) -> None:
     """Delete tables that cut() has written; everything made of them must have been written itself.
 
-    Then the driver collects its garbage: only so Spark deletes the shuffle files of jobs that are over.
+    With shuffles the driver collects its garbage: only so Spark deletes the shuffle files of jobs that are over.
     """
     for t in tables:
         fs, where = hadoop_path(t.sparkSession, t.written_to)
         fs.delete(where, True)
-    tables[0].sparkSession._jvm.System.gc()
+    if shuffles:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def let(value: Column, use) -> Column:
@@ -112,19 +113,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     for _ in range(max_rounds):
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        # a label is itself a node: what its neighbours heard also moves the nodes that carry it
         hooked = cut(labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("best")), "heard")
+        if not hooked.where("best < label").limit(1).count():
+            break  # no neighbours differ
+        # a label is itself a node: what its neighbours heard also moves the nodes that carry it
         roots = hooked.where("best < label").groupBy("label").agg(F.min("best").alias("root_best"))
-        moved = looked_up(hooked, "label", roots, "root_best").select("node", "label", F.least("best", F.coalesce("root_best", "best")).alias("best"))
+        moved = looked_up(hooked, "label", roots, "root_best").select("node", F.least("best", F.coalesce("root_best", "best")).alias("best"))
         moved = cut(moved, "hook")
         jump = moved.where("best < node").select(F.col("node").alias("best"), F.col("best").alias("far"))
         jump = jump.join(moved.select("best").distinct(), "best", "left_semi")
-        new = looked_up(moved, "best", jump, "far").select("node", F.least("best", F.coalesce("far", "best")).alias("new"), "label")
-        new = cut(new.select("node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("changed")), "labels")
+        new = cut(looked_up(moved, "best", jump, "far").select("node", F.least("best", F.coalesce("far", "best")).alias("label")), "labels")
         drop(labels, hooked, moved)
         labels = new
-        if not new.where("changed").limit(1).count():
-            break
     else:
         raise RuntimeError("components did not settle")
     drop(both)

@@ -79,14 +79,14 @@ def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
     often = every.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("least"), F.max("ctx").alias("most")).where("n > 1")
     often = cut(often.select("key", F.expr("least = most").alias("alike")), "passage_keys")
     members = cut(every.join(often, "key"), "passage_members")
-    drop(every, often)
+    drop(every, often, shuffles=True)
     apart, me = members.where("NOT alike"), F.struct("doc_id", "tid")
     groups = cut(apart.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(me).alias("rep")), "passage_runs")
     apart = apart.join(groups, ["key", "ctx"]).select("doc_id", "tid", "ctx", (F.col("n") > 1).alias("whole"), ((F.col("n") == 1) | me.eqNullSafe(F.col("rep"))).alias("open"))
     wanted = apart.union(members.where("alike").select("doc_id", "tid", "ctx", F.lit(True), F.lit(False)))
     wanted = wanted.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(*(F.collect_set(F.when(F.col(k), F.col("ctx"))).alias(k) for k in ("whole", "open")))
     wanted = cut(wanted, "passage_wanted")
-    drop(members, groups)
+    drop(members, groups, shuffles=True)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,5 +121,5 @@ def shared_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return F.struct(F.greatest(s["end"], x["to"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["to"] - F.greatest(x["at"], s["end"]))).alias("n"))
 
     out = cut(spots.select("of", "of_tid", F.aggregate("spots", start, cover, lambda s: s["n"]).alias("n_shared_words")), "shared_words")
-    drop(wanted, seen, shared)
+    drop(wanted, seen, shared, shuffles=True)
     return out

@@ -248,7 +248,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # sums are written before they are joined: then both sides are plain shuffles and a hot anchor can be split
     often = cut(often.select("key", F.expr("least_ctx = most_ctx AND least_ctx2 = most_ctx2").alias("alike")), "often")
     members = cut(every.join(often, "key"), "members")
-    drop(every, often)
+    drop(every, often, shuffles=True)
     found = [members.where("alike").select(span)]
     mixed_ = members.where("NOT alike").drop("alike")
     per = mixed_.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid", "lo")).alias("rep"))
@@ -257,7 +257,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found.append(mixed_.where("n > 1").select(span))
     one = mixed_.where(F.struct("doc_id", "tid", "lo").eqNullSafe(F.col("rep"))).dropDuplicates(CONTEXT).select(*span, "off", *CONTEXT, "n")
     todo = cut(with_bytes(one, docs, length), "items")
-    drop(per)
+    drop(per, shuffles=True)
     for width in CELLS:
         sizes = cut(todo.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
         sized = todo.join(sizes, "key")
