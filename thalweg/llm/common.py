@@ -60,15 +60,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def drop(*tables: DataFrame, shuffles: bool = False) -> None:
-    """Delete tables that cut() has written; everything made of them must have been written itself.
-
-    With shuffles the driver collects its garbage: only so Spark deletes the shuffle files of jobs that are over.
-    """
+    """Delete tables that cut() has written; everything made of them must have been written itself. shuffles: also free()."""
     for t in tables:
         fs, where = hadoop_path(t.sparkSession, t.written_to)
         fs.delete(where, True)
     if shuffles:
-        tables[0].sparkSession._jvm.System.gc()
+        free(tables[0].sparkSession)
+
+
+def free(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only so Spark deletes the shuffle files of jobs that are over."""
+    spark._jvm.System.gc()
 
 
 def let(value: Column, use) -> Column:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, sent, small_arrow_batches
+from .common import components, cut, free, sent, small_arrow_batches
 from .shingles import shingle_hashes, shingle_set, word_hashes
 
 K, SHARED, TURNS, FAMILIES, CROWD, BLOCK = 48, 22, 2, 4, 128, 2048
@@ -87,6 +87,7 @@ def lists(reps: DataFrame, percent: int) -> DataFrame:
     postings = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
     # sums are written before they are joined: then both sides are plain shuffles and a hot value can be split
     shared = cut(postings.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    free(reps.sparkSession)
     n, fits = F.col("n_shingles"), F.col("n_shingles") <= F.lit(K * percent // 100)
     retained = F.least(n, F.lit(K))
     needed = F.when(fits, F.ceil(n * percent / 100)).otherwise(F.lit(SHARED))
@@ -247,6 +248,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     same = cut(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
     reps = nodes.join(same, nodes["doc_id"] == same["a"], "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bits")
     listed = cut(lists(reps, percent), "lists")
+    free(docs.sparkSession)
 
     def placed(grouped: DataFrame | None) -> DataFrame:
         """A row for each member of each list, c its component so far; lists of two are settled by the first turn."""
@@ -270,6 +272,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         stars = members.drop("also").join(heads, "v").where(may)
         pairs = cut(stars.select(F.least("h", "doc_id").alias("a"), F.greatest("h", "doc_id").alias("b")).distinct(), "pairs")
         links = links.union(cut(confirm(pairs, reps, docs, width, percent), "links"))
+        free(docs.sparkSession)
         grouped = cut(components(links), "grouped")
 
     # what is left: members outside a list's largest component against all others of the list
@@ -277,12 +280,14 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     sizes = members.groupBy("v", "c").agg(F.count("*").alias("n"))
     major = sizes.groupBy("v").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     open_ = cut(members.join(cut(major, "major"), "v"), "open")
+    free(docs.sparkSession)
     small, large = open_.where(F.col("n") <= CROWD), open_.where(F.col("n") > CROWD)
     x = small.where("c <> major").select("v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("c").alias("cx"), F.col("bits").alias("bx"))
     y = small.select("v", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("major")).alias("main"), F.col("bits").alias("by"))
     rest = x.join(y, (x["v"] == y["v"]) & (F.col("cx") != F.col("cy")) & (F.col("main") | (F.col("x") < F.col("y"))) & sizes_allow(F.col("nx"), F.col("ny"), percent) & alike(F.col("bx"), F.col("by")))
     rest = cut(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(crowded_pairs(large, docs, width, percent)).distinct(), "pairs")
     more = cut(confirm(rest, reps, docs, width, percent), "links")
+    free(docs.sparkSession)
     groups = components(links.union(more))
     out = base.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
