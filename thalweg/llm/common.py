@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = "1000"
+ARROW_ROWS, ARROW_BYTES = "250", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_arrow_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once: whole texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

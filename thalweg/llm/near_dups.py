@@ -122,10 +122,10 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, last = [], (None, None)
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if x is not last[0] and x != last[0]:
-                    last = x, shingle_set(x, width)
-                p, q = last[1], shingle_set(y, width)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair of texts at a time
+                if (first := x.as_py()) != last[0]:
+                    last = first, shingle_set(first, width)
+                p, q = last[1], shingle_set(y.as_py(), width)
                 met = len(p & q)
                 keep.append(100 * met >= percent * (len(p) + len(q) - met) and met > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
