@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ def near_pairs(hashes: DataFrame, max_distance: int = 4, bits: int = 64) -> Data
     keys = [sum(masks[k] for k in c) for c in combinations(range(n), PAIRED)]
     keys = [F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in keys]
 
+    # read three times below, and often dear to make
+    hashes = hashes.select("id", "split", "h").persist(StorageLevel.MEMORY_AND_DISK)
     classes = hashes.select("h").distinct()
     rows = classes.select("h", F.inline(F.array(*(F.struct(F.lit(k).alias("band"), F.col("h").bitwiseAND(m).alias("value")) for k, m in enumerate(keys)))))
     a, b = rows.alias("a"), rows.alias("b")
