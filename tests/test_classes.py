@@ -84,6 +84,24 @@ def test_near_images_match_brute_force(spark, seed):
     assert sorted((r.id_a, r.id_b, r.distance) for r in pairs.collect()) == sorted(want)
 
 
+def test_near_images_broadcast_nothing(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("split"), (F.col("id") % 500 * 77_777_777_777).alias("h"))
+    pairs = near_images.near_pairs(rows, 4)
+    assert pairs.count() > 0
+    for made in (pairs, near_images.involved(pairs), near_images.pair_counts(pairs)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_images_places_deal_out_one_distance(spark):
+    pairs = spark.range(4000).select((F.col("id") % 400).alias("id_a"), (1000 + F.col("id")).alias("id_b"), (F.col("id") % 2).cast("int").alias("distance"))
+    placed = near_images.by_distance(pairs)
+    want = sorted((r.distance, r.id_a, r.id_b) for r in pairs.collect())
+    assert [(r.distance, r.id_a, r.id_b) for r in sorted(placed.collect(), key=lambda r: r.place)] == want and placed.agg(F.max("place")).first()[0] == 4000
+    assert "CASE WHEN (nearness" in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_gradient_hash(spark):
     cells = [float(x) for row in range(8) for x in ([0, 1] * 5)[:9]]
     h = spark.createDataFrame([(cells,)], "c array<double>").select(labels.gradient_hash(F.col("c")).alias("h")).first().h
