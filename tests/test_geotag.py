@@ -113,3 +113,30 @@ def test_survey(spark, tmp_path):
         survey.process(files.withColumn("start_local", F.lit(None).cast("timestamp_ntz")), [tr])
     with pytest.raises(ValueError, match="inside"):
         survey.check_output("/a", "/a/b")
+
+
+def test_geojson_numbers_as_in_sql(spark):
+    import duckdb
+
+    from thalweg.operators import reports
+
+    x = [0.0, -0.0005, 0.0001, 5e-05, 1.25e-05, 9999999.5, 1e7, 12345678.1234567, -98765432.0000001, 1e15, 1.5e16, 1e17, 0.1, 300.0]
+    want = [r[0] for r in duckdb.sql(f"SELECT unnest({x}::DOUBLE[])::VARCHAR").fetchall()]
+    rows = [("ok", v, v, 'a"b', v) for v in x] + [("ok", None, 1.0, None, float("nan")), ("gps_gap", 1.0, 1.0, "", 1.0)]
+    got = reports.geojson_features(spark.createDataFrame(rows, "status string, latitude double, longitude double, note string, depth double").coalesce(1)).collect()
+    made = ['{"type":"Feature","geometry":{"type":"Point","coordinates":[%s,%s]},"properties":{"status":"ok","note":"a\\"b","depth":%s}}' % (v, v, v) for v in want]
+    last = '{"type":"Feature","geometry":{"type":"Point","coordinates":[1.0,null]},"properties":{"status":"ok","note":null,"depth":"NaN"}}'
+    assert [r.feature for r in got] == [*made, last]
+
+
+def test_rounded_as_in_sql(spark):
+    import random
+
+    import duckdb
+
+    from thalweg.functions import geo
+
+    rng = random.Random(2)
+    x = [rng.uniform(-1e8, 1e8) for _ in range(20000)]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(x, 7) FROM (SELECT unnest({x}::DOUBLE[]) AS x)").fetchall()]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(geo.rounded("x", 7)).collect()] == want
