@@ -185,3 +185,31 @@ def test_merge_parts_searches_all_chunks(spark, tmp_path):
     spark.createDataFrame([(0, "zebra walrus"), (20, padded), (7, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.query_id, r.path) for r in catalogue.merge_parts(spark, str(tmp_path)).collect()}
     assert got == {(0, "src1/1.md"), (0, "src7/2.md"), (0, "src9/3.md"), (20, "src1/1.md")}
+
+
+def test_dense_search_in_small_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    v = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in rng.permutation(300)] + [(900, None), (901, [1.0])]
+    docs = spark.createDataFrame(v, "doc_id long, vector array<double>").repartition(3)
+    asked = docs.where("doc_id % 20 = 0 AND doc_id < 900").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(search, "CELLS", 40)  # two vectors at once for 15 queries
+    got = {(r.query_id, r.doc_id): r.dense for r in search.dense_over(docs, asked, 8).collect()}
+    rows = {i: np.array(x) for i, x in v[:300]}
+    want = {(q, d): float(rows[q] @ rows[d]) for q in range(0, 300, 20) for d in sorted(rows, key=lambda d: (-(rows[q] @ rows[d]), d))[:8]}
+    assert got == want
+    best, d = search.Best(15, 8), rng.integers(-3, 3, (15, 500)) / 7
+    for at in range(0, 500, 9):
+        best.add(d[:, at : at + 9], np.arange(500)[at : at + 9])
+    assert (best.doc == np.lexsort((np.broadcast_to(np.arange(500), d.shape), -np.round(d, 9)), axis=1)[:, :8]).all()
+
+
+def test_chunks_come_in_bounded_tables(spark, monkeypatch):
+    text = "\n".join(f"# part {k}\nline {k}" for k in range(100))
+    files = spark.createDataFrame([("r", f"{k}.md", text) for k in range(4)], "repo string, path string, text string").coalesce(1)
+    monkeypatch.setattr(chunks, "AT_ONCE", 7)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = chunks.chunk_files(files)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "250"
+    assert sorted((r.path, r.start_line) for r in got.select("path", "start_line").collect()) == [(f"{k}.md", 2 * i + 1) for k in range(4) for i in range(100)]
