@@ -213,3 +213,14 @@ def test_chunks_come_in_bounded_tables(spark, monkeypatch):
     got = chunks.chunk_files(files)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "250"
     assert sorted((r.path, r.start_line) for r in got.select("path", "start_line").collect()) == [(f"{k}.md", 2 * i + 1) for k in range(4) for i in range(100)]
+
+
+def test_merge_parts_chunks_files_once(spark, tmp_path):
+    from thalweg.plans import catalogue
+
+    docs = [(k, f"zebra walrus {k}", "src1") for k in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leaves = catalogue.merge_parts(spark, str(tmp_path))._jdf.queryExecution().withCachedData().collectLeaves()
+    read = [leaves.apply(k).output().mkString() for k in range(leaves.size())]
+    assert len(read) > 1 and not [x for x in read if "source#" in x]  # documents only below what is cached
